@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noesis.operators.sampling import bounded_sample
+
 LANGUAGES = ["de", "en", "es", "fr", "pt", "ru"]
 NONE = "zz"
 SAMPLE = 4_000
@@ -298,7 +300,7 @@ def _label_rows(net: ByteGru):
 def fit(df: DataFrame, key: str, text: str, label: str, *, sample: int = SAMPLE) -> ByteGru:
     """Train on at most ``sample`` rows with a label that names a language, in the order of a hash of the key."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), label_code(F.col(label)).alias("lang")).filter("lang is not null and length(text) >= 20")
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    few = bounded_sample(rows, ["id"], sample).toPandas()
     return train(few["text"].tolist(), few["lang"].tolist())
 
 

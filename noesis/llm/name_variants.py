@@ -23,14 +23,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noesis.operators.components import connected_components
-from noesis.session import cut
+from noesis.session import cut, slots
 
 CLUSTER_LIMIT = 64
 FAMILY_LEAST = 0.90
@@ -171,21 +173,25 @@ def _level(name: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
 
+def _closest(word: str, known: Iterable[str], least: float) -> str | None:
+    """The most similar known word, among those that begin or end alike and differ little in length: with one slip of
+    the fingers a word keeps its first letter, has it moved by one, or keeps its last three."""
+    near = [k for k in known if abs(len(k) - len(word)) <= 2 and (word[0] == k[0] or word[1] == k[0] or word[0] == k[1] or word[-3:] == k[-3:])]
+    best = max(((jaro_winkler(word, k), k) for k in near), default=(0.0, ""))
+    return best[1] if best[0] >= least else None
+
+
+@lru_cache(maxsize=100_000)
 def _known_given(word: str) -> str | None:
     """The given name a word stands for, mistyped or short."""
     found = _GIVEN.get(word)
-    if found or len(word) < 4:
-        return found
-    best = max(((jaro_winkler(word, full), full) for full in NICKNAMES), default=(0.0, ""))
-    return best[1] if best[0] >= KNOWN_LEAST else None
+    return found if found or len(word) < 4 else _closest(word, NICKNAMES, KNOWN_LEAST)
 
 
+@lru_cache(maxsize=100_000)
 def _known_kind(word: str) -> str | None:
     found = _KINDS.get(word)
-    if found or len(word) < 5:
-        return found
-    best = max((jaro_winkler(word, full), full) for full in ORGANISATION_WORDS)
-    return best[1] if best[0] >= 0.93 else None
+    return found if found or len(word) < 5 else _closest(word, ORGANISATION_WORDS, 0.93)
 
 
 def read_name(name: str | None, declared: str | None = None) -> tuple[str, str, str, bool] | None:
@@ -236,9 +242,10 @@ def read_name(name: str | None, declared: str | None = None) -> tuple[str, str,
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         found = [read_name(n, d) for n, d in zip(f["name"], f["kind"])]
-        keep = [x is not None for x in found]
+        keep = np.array([x is not None for x in found], bool)
         some = [x for x in found if x]
-        yield pd.DataFrame({"id": f["id"][keep].to_numpy(), **{c: [x[k] for x in some] for k, c in enumerate(("kind", "main", "other", "cut"))}}, columns=["id", "kind", "main", "other", "cut"])
+        text = {c: np.array([x[k] for x in some], object) for k, c in enumerate(("kind", "main", "other"))}
+        yield pd.DataFrame({"id": f["id"].to_numpy()[keep], **text, "cut": np.array([x[3] for x in some], bool)})
 
 
 def block_keys(kind: str, main: str, other: str) -> list[str]:
@@ -252,7 +259,8 @@ def block_keys(kind: str, main: str, other: str) -> list[str]:
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         keys = [block_keys(k, m, o) for k, m, o in zip(f["kind"], f["main"], f["other"])]
-        yield f.assign(block=keys)[["rep", "kind", "main", "other", "cut", "block"]].explode("block")
+        row = np.repeat(np.arange(len(f)), [len(k) for k in keys])
+        yield f[["rep", "kind", "main", "other", "cut"]].iloc[row].assign(block=np.array([x for k in keys for x in k], object))
 
 
 def _accept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,26 +269,27 @@ def _accept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             jaro_winkler(ma, mb) >= FAMILY_LEAST and (oa == ob if k == "organisation" else oa == ob or (oa not in NICKNAMES or ob not in NICKNAMES) and jaro_winkler(oa, ob) >= GIVEN_LEAST)
             for k, ma, mb, oa, ob in zip(f["kind"], f["main"], f["main_b"], f["other"], f["other_b"])
         ]
-        yield f[["a", "b"]][keep]
+        yield f[["a", "b"]].loc[np.array(keep, bool)]
 
 
 def _fits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         keep = [ob.startswith(oa) and jaro_winkler(ma, mb) >= FAMILY_LEAST for ma, mb, oa, ob in zip(f["main"], f["main_b"], f["other"], f["other_b"])]
-        yield f[["a", "b"]][keep].assign(same=[ma == mb for ma, mb in zip(f["main"][keep], f["main_b"][keep])])
+        yield f[["a", "b"]].assign(same=(f["main"] == f["main_b"]).astype(bool)).loc[np.array(keep, bool)]
 
 
 def name_clusters(df: DataFrame, key: str, name: str, kind: str | None = None) -> DataFrame:
     """``id, cluster``: rows whose name could be read, and the smallest id of those that mean the same."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(name).alias("name"), (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"))
-    read = cut(rows.dropDuplicates(["id"]).mapInPandas(_read, "id long, kind string, main string, other string, cut boolean"), "names")
+    n = slots(df.sparkSession)  # few bytes and much work per row: the number of tasks is set, not left to the size
+    read = cut(rows.repartition(n, "id").dropDuplicates(["id"]).mapInPandas(_read, "id long, kind string, main string, other string, cut boolean"), "names")
     classes = read.groupBy("kind", "main", "other", "cut").agg(F.min("id").alias("rep"))
     blocks = cut(classes.mapInPandas(_blocks, "rep long, kind string, main string, other string, cut boolean, block string"), "name-blocks")
     left = blocks.withColumnRenamed("rep", "a")
     right = blocks.select(F.col("rep").alias("b"), F.col("main").alias("main_b"), F.col("other").alias("other_b"), F.col("cut").alias("cut_b"), "block")
     cols = ["a", "b", "kind", "main", "main_b", "other", "other_b"]
     met = left.filter("not cut").join(right.filter("not cut_b"), "block").filter("a < b").select(*cols).dropDuplicates(["a", "b"])
-    linked = cut(met.mapInPandas(_accept, "a long, b long"), "name-links")
+    linked = cut(met.repartition(n, "a", "b").mapInPandas(_accept, "a long, b long"), "name-links")
     full = connected_components(linked)
     # cut given names: the clusters with that family name and a fitting given name, exact family names first
     part = left.filter("cut").join(right.filter("not cut_b"), "block").select(*cols).dropDuplicates(["a", "b"]).mapInPandas(_fits, "a long, b long, same boolean")

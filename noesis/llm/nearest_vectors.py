@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noesis.operators.sampling import bounded_sample
 from noesis.session import cut, slots
 
 SAMPLE = 16_384
@@ -148,7 +149,7 @@ def _directions(dim: int):
 
 def _sample(df: DataFrame, dim: int, rows: int) -> np.ndarray:
     """Normalised usable vectors of at most ``rows`` records, in the order of a hash of their id."""
-    few = df.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(rows)
+    few = bounded_sample(df.filter(F.size("v") == dim), ["id"], rows)
     t = few.select("v").toArrow()
     return _matrix(t.column(0).combine_chunks(), dim)[1].astype(np.float32) if t.num_rows else np.zeros((0, dim), np.float32)
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noesis.operators.sampling import bounded_sample
 from noesis.session import cut
 
 TYPES = ["email", "phone", "id_number", "address", "name"]
@@ -306,7 +307,7 @@ def train(df: DataFrame) -> np.ndarray:
     for kind, part in table.groupby("kind"):
         p, _, _ = reliabilities(part["pattern"].to_numpy(), part["n"].to_numpy(float))
         real.update({(int(kind), int(q)): float(v) for q, v in zip(part["pattern"], p)})
-    few = votes.orderBy(F.xxhash64("id", "kind", "pattern", "extra"), "id").limit(SAMPLE).toPandas()
+    few = bounded_sample(votes, ["id", "kind", "pattern", "extra"], SAMPLE).toPandas()
     if not len(few):
         return np.zeros(len(TYPES) * 16)
     x = np.stack([features(int(k), tuple(votes_of(int(p))), tuple(e)) for k, p, e in zip(few["kind"], few["pattern"], few["extra"])])
