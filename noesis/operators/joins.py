@@ -25,8 +25,8 @@ def neighbours(edges: DataFrame, queries: DataFrame) -> DataFrame:
 
 def co_mentions(links: DataFrame, *, most: int = 50) -> DataFrame:
     """``node_a, node_b, shared``: pairs of notes that share an entity, smaller id first. Entities with more than ``most``
-    notes say nothing about their notes and would make pairs with the square of their notes; they are left out here and
-    given by ``hub_entities``."""
+    notes would make pairs with the square of their notes; their links are whole in ``hub_members``, one row per member,
+    and two notes share such an entity when both have a row."""
     once = links.select("node_id", "entity_id").distinct()
     sizes = once.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most)).select("entity_id")
     kept = once.join(sizes, "entity_id")
@@ -34,23 +34,38 @@ def co_mentions(links: DataFrame, *, most: int = 50) -> DataFrame:
     return pairs.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def hub_members(links: DataFrame, *, least: int = 50) -> DataFrame:
+    """``entity_id, node_id`` of entities with more than ``least`` notes: their co-mentions in linear form."""
+    once = links.select("node_id", "entity_id").distinct()
+    hubs = hub_entities(links, least=least).select("entity_id")
+    return once.join(hubs, "entity_id", "left_semi").select("entity_id", "node_id")
+
+
 def hub_entities(links: DataFrame, *, least: int = 50) -> DataFrame:
     return links.select("node_id", "entity_id").distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("notes")).filter(F.col("notes") > least)
 
 
-def tag_resonance(notes: DataFrame, tags: Column, *, shared: int = 2, top: int = 5, most: int = 100) -> DataFrame:
+def tag_resonance(notes: DataFrame, tags: Column, *, shared: int = 2, top: int = 5) -> DataFrame:
     """``node_a, node_b, weight``: notes with at least ``shared`` tags in common, Jaccard weight, at most ``top`` per note
-    (larger weight, then larger id), pair once. Tags on more than ``most`` notes find no partners; they count in weights."""
-    own = notes.select("id", F.array_distinct(tags).alias("tags")).filter(F.size("tags") >= shared)
-    flat = own.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    rare = flat.groupBy("tag").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") > 1) & (F.col("c") <= most)).select("tag")
-    kept = flat.join(rare, "tag")
-    met = kept.select("tag", F.col("id").alias("a")).join(kept.select("tag", F.col("id").alias("b")), "tag").filter("a < b").select("a", "b").distinct()
-    both = met.join(own.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    found = both.withColumn("k", inter).filter(F.col("k") >= shared).withColumn("weight", F.col("k") / F.size(F.array_union("ta", "tb")))
-    sides = found.select("a", "b", "weight").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    best = sides.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), F.desc("b")))).filter(F.col("r") <= top)
+    (larger weight, then larger id), pair once.
+
+    Notes with the same set of tags are one class; classes meet on pairs of tags, so the work follows the number of tag
+    sets in use, and a class ranks its best partners once for all its members: no list of notes per tag is built."""
+    own = notes.select("id", F.array_sort(F.array_distinct(tags)).alias("tags")).filter(F.size("tags") >= shared)
+    size = F.count(F.lit(1)).alias("members")
+    classes = own.groupBy("tags").agg(size)
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("tags").orderBy(F.desc("id")))).filter(F.col("r") <= top + 1)
+    heads = ranked.groupBy("tags").agg(F.collect_list("id").alias("heads"))
+    couple = F.explode(F.flatten(F.transform("tags", lambda x: F.transform(F.filter("tags", lambda y: y > x), lambda y: F.concat_ws("\x1f", x, y)))))
+    keyed = classes.select("tags", couple.alias("couple")) if shared == 2 else classes.select("tags", F.explode("tags").alias("couple"))
+    met = keyed.select(F.col("tags").alias("ta"), "couple").join(keyed.select(F.col("tags").alias("tb"), "couple"), "couple").select("ta", "tb").distinct()
+    k = F.size(F.array_intersect("ta", "tb"))
+    met = met.withColumn("k", k).filter(F.col("k") >= shared).withColumn("weight", F.col("k") / (F.size("ta") + F.size("tb") - F.col("k")))
+    offers = met.join(heads.withColumnRenamed("tags", "tb"), "tb").select("ta", "weight", F.explode("heads").alias("b"))
+    order = [F.desc("weight"), F.desc("b")]
+    offers = offers.withColumn("r", F.row_number().over(Window.partitionBy("ta").orderBy(*order))).filter(F.col("r") <= top + 1).drop("r")
+    mine = own.select(F.col("id").alias("a"), F.col("tags").alias("ta")).join(offers, "ta").filter("a <> b")
+    best = mine.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(*order))).filter(F.col("r") <= top)
     return best.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"), "weight").distinct()
 
 

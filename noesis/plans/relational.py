@@ -148,14 +148,16 @@ def j03_hubs(t: Store) -> DataFrame:
     return joins.hub_entities(t.node_entities)
 
 
+@catalog("j03_hub_members", "SELECT DISTINCT entity_id, node_id FROM node_entities WHERE entity_id IN (SELECT entity_id FROM node_entities GROUP BY 1 HAVING count(DISTINCT node_id) > 50)")
+def j03_members(t: Store) -> DataFrame:
+    return joins.hub_members(t.node_entities)
+
+
 @catalog(
     "j10_resonance",
-    """WITH o AS (SELECT id, list_distinct([trim(lower(x)) FOR x IN string_split(emotional_tone, ',') IF trim(x) <> '']) AS tags FROM nodes WHERE emotional_tone IS NOT NULL),
-    w AS (SELECT * FROM o WHERE len(tags) >= 2), f AS (SELECT id, unnest(tags) AS tag FROM w), rare AS (SELECT tag FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100),
-    met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM f x JOIN f y USING (tag) WHERE x.id < y.id AND tag IN (SELECT tag FROM rare)),
-    s AS (SELECT a, b, len(list_intersect(p.tags, q.tags)) AS k, len(list_intersect(p.tags, q.tags))::DOUBLE / (len(p.tags) + len(q.tags) - len(list_intersect(p.tags, q.tags))) AS weight FROM met JOIN w p ON p.id = a JOIN w q ON q.id = b),
-    g AS (SELECT a, b, weight FROM s WHERE k >= 2), h AS (SELECT * FROM g UNION ALL SELECT b, a, weight FROM g),
-    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS r FROM h)
+    """WITH w AS (SELECT id, list_distinct([trim(lower(x)) FOR x IN string_split(emotional_tone, ',') IF trim(x) <> '']) AS tags FROM nodes WHERE emotional_tone IS NOT NULL),
+    s AS (SELECT p.id AS a, q.id AS b, len(list_intersect(p.tags, q.tags)) AS k, len(p.tags) + len(q.tags) AS n FROM w p JOIN w q ON p.id <> q.id WHERE len(p.tags) >= 2 AND len(q.tags) >= 2),
+    r AS (SELECT a, b, k::DOUBLE / (n - k) AS weight, row_number() OVER (PARTITION BY a ORDER BY k::DOUBLE / (n - k) DESC, b DESC) AS r FROM s WHERE k >= 2)
     SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b, round(weight, 6) AS weight FROM r WHERE r <= 5""",
 )
 def j10(t: Store) -> DataFrame:

@@ -1,16 +1,25 @@
-"""Closed vocabularies of the store (fixed values) and default parameters. Every threshold is a parameter of its operator;
-these are the defaults."""
+"""Closed vocabularies of the store and default factors (fixed values). Every threshold is a parameter of its operator."""
 
 IMPORTANCE = ["critical", "normal", "low"]
 SYNTHETIC = ["keyword-anchor", "lc-chunk", "abstract-topic", "atomic-fact", "enriched-fragment", "metrics-snapshot"]
-PROTECTED = ["anchor", "self-reflection", "relational-context", "gratitude", "milestone", "protocol", "security", "breakthrough", "critical-lesson", "project-decisions"]
-PROTECTED_WORDS = ["anchor", "critical", "breakthrough", "milestone", "identity", "security"]
-IDENTITY = ["self-reflection", "relational-context", "gratitude", "anchor", "milestone"]
-ABSTRACT = ["self-reflection", "critical-lesson", "breakthrough", "project-decisions"]
-SLOW_DECAY = {"critical-lesson": 0.1, "breakthrough": 0.3, "self-reflection": 0.5, "project-decisions": 0.3, "skill": 0.2}
-IMPORTANCE_WEIGHT = {"critical": 1.5, "normal": 1.0, "low": 0.7}
-#: Emotional tags in other words (fixed values).
-TONE_SYNONYMS = {"happiness": "joy", "happy": "joy", "joyful": "joy", "fear": "anxiety", "worried": "anxiety", "sad": "sadness", "angry": "anger", "радость": "joy", "грусть": "sadness"}
-#: Short and full names of technologies (fixed values).
-SYNONYMS = {"js": "javascript", "ts": "typescript", "py": "python", "k8s": "kubernetes", "postgres": "postgresql", "ml": "machine learning", "ai": "artificial intelligence", "db": "database"}
+PROTECTED = ["anchor", "self-reflection", "relational-context", "gratitude", "milestone", "protocol", "security", "breakthrough"]
+PROTECTED_WORDS = ["learned", "identity", "protocol", "security", "consciousness", "critical-lesson", "self", "anchor"]
+IDENTITY = ["self-identity", "self-reflection", "consciousness-research", "critical-lesson", "anchor"]
+CONCRETE = ["critical-lesson", "crisis", "debug-lesson", "critical-insight", "self-correction"]
+ABSTRACT = ["protocol", "critical-protocol", "skill", "technical-skill", "architecture-decision", "design"]
+SELF_MODEL = ["self-identity", "self-reflection", "consciousness-research", "learned-skill", "emotional-reflection"]
+TEMPORAL_EDGES = ["TEMPORAL_BEFORE", "TEMPORAL_AFTER"]
+DECAY_FACTORS = {"anchor": 0.0, "self-reflection": 0.1, "relational-context": 0.1, "gratitude": 0.1, "milestone": 0.15, "protocol": 0.2, "security": 0.2, "breakthrough": 0.2}
+IMPORTANCE_FACTORS = {"critical": 1.5, "normal": 1.0, "low": 0.7}
+SIGNAL_WEIGHTS = {
+    "phi_proxy": 0.15, "global_workspace": 0.15, "self_model_stability": 0.15, "emotional_modulation": 0.10,
+    "world_model_richness": 0.10, "metacognition": 0.15, "temporal_continuity": 0.10, "self_ref_precision": 0.10,
+}
+#: Emotional tags in other languages and their English form (fixed values).
+TONES = {
+    "радость": "joy", "тепло": "warmth", "гордость": "pride", "стыд": "shame", "благодарность": "gratitude", "доверие": "trust", "тревога": "anxiety",
+    "любопытство": "curiosity", "облегчение": "relief", "спокойствие": "calm", "ясность": "clarity", "alegría": "joy", "orgullo": "pride", "gratitud": "gratitude",
+    "confianza": "trust", "curiosidad": "curiosity", "alivio": "relief", "freude": "joy", "stolz": "pride", "scham": "shame", "dankbarkeit": "gratitude",
+    "vertrauen": "trust", "joie": "joy", "fierté": "pride", "honte": "shame", "confiance": "trust", "alegria": "joy", "orgulho": "pride", "vergonha": "shame", "confiança": "trust",
+}
 STOPWORDS = "the a an and or but if of to in on at for with by from is are was were be been it this that as not we i you he she they".split()
