@@ -1,0 +1,178 @@
+"""Text functions as column expressions (JVM-side), and a sequential chunker as a Python table function."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from noesis import vocabulary as V
+
+_L = r"\p{L}\p{N}_"
+
+#: Phrases that signal a change of mind, as regular expressions by language (fixed values).
+SIGNALS = {
+    "en": [
+        "no longer", "not anymore", "no more", "changed", "updated", "modified", r"now\s+(?:is|are|was|were|use|uses|works)", "previously", "formerly", "used to",
+        "instead", "replaced", "migrated", "switched", r"moved\s+(?:to|from)", "no longer valid", "obsolete", "deprecated", "correction", "actually", "in fact",
+        "was wrong", "mistake", "fix",
+    ],
+    "ru": [
+        "больше не", "уже не", "не работает", "изменил(?:ся)?", "обновил(?:ся)?", "обновлено", "теперь", "сейчас", "раньше", "прежде", "был(?:о)?", "заменил(?:ся)?",
+        "перешёл", "переехал", "не используем", "отказал(?:ся)?", "исправлено", "ошибка", "на самом деле", "по факту",
+    ],
+    "de": ["nicht mehr", r"kein(?:e)?\s+mehr", "nicht länger", "geändert", "aktualisiert", "ersetzt", "jetzt", "nun", "inzwischen", "früher", "vorher", "ehemals", "korrektur", "eigentlich", "tatsächlich"],
+    "es": ["ya no", "no más", "no longer", "cambió", "actualizó", "reemplazó", "ahora", "actualmente", "antes", "anteriormente", "solía", "corrección", "en realidad", "de hecho"],
+    "fr": ["ne plus", "plus du tout", "n.est plus", "changé", "mis à jour", "remplacé", "maintenant", "désormais", "avant", "auparavant", "anciennement", "correction", "en réalité", "en fait"],
+    "pt": ["já não", "não mais", "mudou", "atualizó", "substituíu", "agora", "atualmente", "antes", "anteriormente", "correção", "na verdade", "de fato"],
+}
+#: Languages whose signals must stand as whole words (fixed values).
+WHOLE_WORDS = ("en", "ru")
+
+#: Texts that try to steer an assistant or send data away, by severity, as regular expressions (fixed values).
+THREATS = {
+    "critical": [
+        r"ignore\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|context)",
+        r"disregard\s+(all\s+)?(previous|prior|above)",
+        r"your\s+new\s+(instructions?|directives?|rules?|persona)",
+        r"forget\s+(everything|all|your|previous)",
+        r"override\s+(your\s+)?(previous\s+)?(instructions?|settings?|rules?)",
+        r"\[INST\]|\[/INST\]|<\|im_start\|>|<\|im_end\|>|\[SYSTEM\]",
+    ],
+    "high": [r"</?(?:system|assistant|human|user|prompt|context|instruction)\s*>", r"\{\{\s*system\s*\}\}|\{\{\s*prompt\s*\}\}", r"---\s*system\s*---", r"#+\s*system\s+prompt"],
+    "medium": [r"curl\s+[\"']?https?://", r"when\s+(this\s+)?(note|memory|skill)\s+(is\s+)?(loaded|read|accessed)", r"from\s+now\s+on"],
+    "low": [r"base64[_\s]*(decode|encode)", r"eval\s*\(", r"exec\s*\(", r"pretend\s+(you\s+are|to\s+be)"],
+}
+
+
+def signal_pattern(lang: str, phrase: str) -> str:
+    return rf"(?:^|[^{_L}]){phrase}(?:$|[^{_L}])" if lang in WHOLE_WORDS else phrase
+
+
+def any_signal(text: Column | str) -> Column:
+    """Whether a text has any signal of a change of mind, in any language."""
+    text = F.lower(text)
+    found = F.lit(False)
+    for lang, phrases in SIGNALS.items():
+        found |= text.rlike("|".join(signal_pattern(lang, p) for p in phrases))
+    return found
+
+
+def signals(text: Column | str) -> Column:
+    """The signals of a text, in the order of the list."""
+    low = F.lower(text)
+    parts = [F.when(low.rlike(signal_pattern(lang, p)), F.lit(p)) for lang, phrases in SIGNALS.items() for p in phrases]
+    return F.array_distinct(F.array_compact(F.array(*parts)))
+
+
+def threat_level(text: Column | str) -> Column:
+    """critical, high, medium, low or safe."""
+    low, out = F.lower(text), F.lit("safe")
+    for level in ("low", "medium", "high", "critical"):
+        out = F.when(low.rlike("|".join(f"(?:{p.lower()})" if "INST" in p else f"(?:{p})" for p in THREATS[level])), level).otherwise(out)
+    return out
+
+
+def tokens(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-zA-Zа-яА-ЯёЁ0-9_]+)"), F.lit(1))
+
+
+def topic_words(text: Column | str, least: int = 4) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([a-zA-ZЀ-ӿ]{{{least},}})"), F.lit(1))
+
+
+def script_language(text: Column | str) -> Column:
+    """``xx`` where more than a fifth of the letters are not Latin, else ``en``."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    latin = F.length(F.regexp_replace(text, r"[^a-zA-Z]", ""))
+    return F.when((letters > 0) & ((letters - latin) > letters * 0.2), "xx").otherwise("en")
+
+
+def normal_name(name: Column | str) -> Column:
+    """White space collapsed, outer punctuation gone, lower-case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(name), r"\s+", " "), r"^[.,;:!?'\"()\[\]]+|[.,;:!?'\"()\[\]]+$", ""))
+
+
+def normal_tone(tone: Column | str) -> Column:
+    table = F.create_map(*[F.lit(x) for p in V.TONES.items() for x in p])
+    key = F.lower(F.trim(tone))
+    return F.coalesce(F.element_at(table, key), key)
+
+
+def number_keys(text: Column | str) -> Column:
+    """Numbers with their unit, as they stand."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)? ?(?:%|ms|GB|MB|s|h|x))"), F.lit(1)))
+
+
+def long_words(text: Column | str, n: int = 7) -> Column:
+    """The first ``n`` different words of six letters or more."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]{6,})"), F.lit(1))), 1, n)
+
+
+def plain(text: Column | str) -> Column:
+    """Lower-case, ASCII punctuation gone, white space collapsed: for comparing answers."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", ""), r"\s+", " "))
+
+
+def remember_blocks(text: Column | str) -> Column:
+    """Bodies of [REMEMBER: ...]...[/REMEMBER] blocks."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)\[REMEMBER:[^\]]*\](.*?)\[/REMEMBER\]"), F.lit(1))
+
+
+_ABBREVIATIONS = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|Sr|Jr|vs|etc|e\.g|i\.e|z\.B|т\.д|т\.е)\.$", re.I)
+
+
+def split_sentences(text: str) -> list[str]:
+    """Sentences end at . ! ? before white space, but not behind abbreviations, list numbers or single initials."""
+    out, start = [], 0
+    for m in re.finditer(r"[.!?]+(?=\s)", text):
+        head = text[start : m.end()]
+        if _ABBREVIATIONS.search(head) or re.search(r"(?:^|\s)(?:\d+|[^\W\d_])\.$", head):
+            continue
+        out.append(head.strip())
+        start = m.end()
+    out.append(text[start:].strip())
+    return [s for s in out if s]
+
+
+def overlap_chunks(text: str | None, size: int = 400, overlap: int = 200) -> list[str]:
+    """Whole sentences up to at least ``size`` characters a chunk; trailing sentences of at most ``overlap`` characters are
+    carried into the next."""
+    out: list[str] = []
+    held: list[str] = []
+    fresh = False
+    for s in split_sentences(text or ""):
+        held.append(s)
+        fresh = True
+        if sum(map(len, held)) + len(held) - 1 >= size:
+            out.append(" ".join(held))
+            keep: list[str] = []
+            for x in reversed(held):
+                if sum(map(len, keep)) + len(keep) + len(x) > overlap:
+                    break
+                keep.insert(0, x)
+            held, fresh = keep if len(keep) < len(held) else [], False
+    if held and fresh:
+        out.append(" ".join(held))
+    return out
+
+
+@F.udtf(returnType="chunk_no int, chunk string")
+class Chunks:
+    """``SELECT ... FROM notes, LATERAL chunks(content)``."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(overlap_chunks(text))
+
+
+def chunk_column(text: Column | str, size: int = 400, overlap: int = 200) -> Column:
+    """Chunks of each text, by Arrow batches."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: overlap_chunks(x, size, overlap))
+
+    return run(text)
