@@ -33,10 +33,11 @@ def edge_references(edges: DataFrame) -> DataFrame:
     """Both ends of every distinct (source, target, type); repeated writings keep the earliest non-null ``created_at``."""
     once = edges.groupBy("source_id", "target_id", "edge_type").agg(F.min("created_at").alias("created_at"))
     once = once.withColumn("row_key", F.concat_ws("|", _text("source_id"), _text("target_id"), _text("edge_type")))
-    ends = F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("ref_id")) for f in ("source_id", "target_id")]))
-    return once.select("row_key", "created_at", ends.alias("end")).select(
-        F.lit("edges").alias("ref_table"), "end.ref_field", "row_key", "end.ref_id", "created_at", month("created_at").alias("period")
+    # both ends read one exchange of the aggregate
+    side = lambda c: once.select(
+        F.lit("edges").alias("ref_table"), F.lit(c).alias("ref_field"), "row_key", F.col(c).alias("ref_id"), "created_at", month("created_at").alias("period")
     )
+    return side("source_id").unionByName(side("target_id"))
 
 
 def link_references(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def a22(t: Store) -> DataFrame:
     q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zA-Zа-яА-ЯёЁ0-9_]+')) AS term FROM eval_items) GROUP BY 1, 2),
     s AS (SELECT item_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN dl USING (doc_id) CROSS JOIN c GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM s WHERE score > 0)
-    SELECT item_id AS query, doc_id AS doc, round(score, 4) AS score, place FROM r WHERE place <= 5""",
+    SELECT item_id AS query, doc_id AS doc, round(score, 4) AS score, place::INTEGER AS place FROM r WHERE place <= 5""",
 )
 def x07(t: Store) -> DataFrame:
     out = text_index.bm25(t("documents", "doc_id", "text"), "doc_id", "text", t("eval_items", "item_id", "text"), "item_id", "text", top=5)
@@ -184,7 +184,7 @@ def note_weights(t: Store) -> DataFrame:
     return n.select("id", ranking.recency(F.col("last_accessed"), F.col("timestamp"), F.col("category"), NOW).alias("recency"), ranking.importance(F.col("importance"), F.col("access_count")).alias("importance"))
 
 
-@catalog("r08_recency_importance", f"WITH {_WEIGHT} SELECT id, round(recency, 6) AS recency, round(importance, 6) AS importance FROM weight")
+@catalog("r08_recency_importance", f"WITH {_WEIGHT} SELECT id, round(recency, 6) AS recency, round(importance::DOUBLE, 6) AS importance FROM weight")
 def r08(t: Store) -> DataFrame:
     return note_weights(t).select("id", F.round("recency", 6).alias("recency"), F.round("importance", 6).alias("importance"))
 

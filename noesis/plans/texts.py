@@ -16,7 +16,7 @@ CUTOFF = "2025-06-01 00:00:00"
 _q = lambda s: s.replace("'", "''")
 
 
-@catalog("l01_token_counts", "SELECT id, len(regexp_extract_all(lower(content), '[a-zA-Zа-яА-ЯёЁ0-9_]+')) AS tokens FROM nodes")
+@catalog("l01_token_counts", "SELECT id, len(regexp_extract_all(lower(content), '[a-zA-Zа-яА-ЯёЁ0-9_]+'))::INTEGER AS tokens FROM nodes")
 def l01(t: Store) -> DataFrame:
     return t("nodes", "id", "content").select("id", F.size(text.tokens("content")).alias("tokens"))
 
@@ -47,7 +47,7 @@ def l08(t: Store) -> DataFrame:
     return t("nodes", "emotional_tone").select(F.explode(F.split("emotional_tone", ",")).alias("x")).select(text.normal_tone("x").alias("tone")).groupBy("tone").agg(F.count(F.lit(1)).alias("notes"))
 
 
-@catalog("l10_keys", r"SELECT id, len(list_distinct(regexp_extract_all(lower(content), '[\p{L}]{6,}'))) AS words, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '[0-9]+(?:[.,][0-9]+)? ?(?:%|ms|GB|MB|s|h|x)'))), '|') AS numbers FROM nodes")
+@catalog("l10_keys", r"SELECT id, len(list_distinct(regexp_extract_all(lower(content), '[\p{L}]{6,}')))::INTEGER AS words, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '[0-9]+(?:[.,][0-9]+)? ?(?:%|ms|GB|MB|s|h|x)'))), '|') AS numbers FROM nodes")
 def l10(t: Store) -> DataFrame:
     words = F.size(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}]{6,})"), F.lit(1))))
     return t("nodes", "id", "content").select("id", words.alias("words"), F.array_join(F.array_sort(text.number_keys("content")), "|").alias("numbers"))
@@ -74,7 +74,7 @@ def l12(t: Store) -> DataFrame:
     return t("documents", "doc_id", "text").select("doc_id", text.threat_level("text").alias("level"))
 
 
-@catalog("l15_remember_blocks", "SELECT doc_id, len(regexp_extract_all(text, '(?s)\\[REMEMBER:[^\\]]*\\](.*?)\\[/REMEMBER\\]')) AS blocks FROM documents")
+@catalog("l15_remember_blocks", "SELECT doc_id, len(regexp_extract_all(text, '(?s)\\[REMEMBER:[^\\]]*\\](.*?)\\[/REMEMBER\\]'))::INTEGER AS blocks FROM documents")
 def l15(t: Store) -> DataFrame:
     return t("documents", "doc_id", "text").select("doc_id", F.size(text.remember_blocks("text")).alias("blocks")).withColumn("blocks", F.when(F.col("blocks") >= 0, F.col("blocks")))
 
@@ -89,7 +89,7 @@ def l05(t: Store) -> DataFrame:
     return t("documents", "doc_id", "text").select("doc_id", F.posexplode(text.chunk_column("text")).alias("chunk_no", "chunk"))
 
 
-@catalog("d01_iso_dates", r"SELECT doc_id, len([x FOR x IN regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') IF try_cast(x AS DATE) IS NOT NULL]) AS dates FROM documents WHERE text IS NOT NULL")
+@catalog("d01_iso_dates", r"SELECT doc_id, len([x FOR x IN regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') IF try_cast(x AS DATE) IS NOT NULL])::INTEGER AS dates FROM documents WHERE text IS NOT NULL")
 def d01(t: Store) -> DataFrame:
     return t("documents", "doc_id", "text").filter("text is not null").select("doc_id", F.size(times.iso_dates("text")).alias("dates"))
 
