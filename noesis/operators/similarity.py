@@ -25,7 +25,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, *, least: float, dim: in
     the threshold and a recall of 0.9999 at it. Buckets hold ids only; vectors meet once per candidate pair."""
     own = df.filter(vectors.usable(vector, dim)).select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(sides) if sides else F.lit(None)).cast("boolean").alias("side"))
     own = cut(own, "vectors")
-    bits = int(np.clip(np.ceil(np.log2(max(own.count(), 2) / 64)), 4, 24))
+    bits = int(np.clip(np.ceil(np.log2(max(own.count(), 2) / 6)), 4, 24))
     planes = np.random.default_rng(seed).standard_normal((tables_for(least, bits), bits, dim))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
