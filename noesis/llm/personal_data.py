@@ -100,6 +100,12 @@ PROPOSE = {
         rf"|(?<!\w)[А-ЯЁ][\wа-яё-]+ (?:улица|ул\.|проспект|пр\.|переулок|пер\.|площадь|пл\.|шоссе),? (?:дом |д\. ?)?\d{{1,4}}[а-я]?(?:, (?:корп\.|к\.|кв\.|квартира) ?\d+)*"
     ),
 }
+#: What a text must hold for a pattern to match at all; most texts are done with these.
+_SPELLED = re.compile(r"[\[({<]\s?(?:at|arroba|собака)\s?[\])}>]|\s(?:dot|punto|ponto|point|punkt|точка)\s", re.I)
+_PLAIN_MAIL = re.compile(r"(?<![\w.+@-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+_STREET_WORDS = tuple(f" {w}" for w in "Street Avenue Lane Drive Crescent Road Court Place Square Terrace Close Way Boulevard Rd St. Ave. Dr. Ln. Blvd. rue avenue chemin boulevard place impasse allée quai route cours".split())
+_STREET_WORDS += tuple(f"{w} " for w in "straße strasse str. weg platz allee gasse ring damm ufer Calle C/ Avda. Avenida Av. Plaza Paseo Camino Ronda Rua Travessa Praça Largo Estrada Alameda".split())
+_STREET_WORDS += ("улица", "ул.", "проспект", "пр.", "переулок", "пер.", "площадь", "пл.", "шоссе")
 _STRICT_PHONE = re.compile(
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,8}){1,5}|00\d{2}(?:[ .-]?\d{1,4}){4,6}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3}-\d{4}|0\d{1,4}/\d{5,9}|0\d{4} \d{6}|0\d{3} \d{7}|0\d{3} \d{3} \d{3}|0\d(?:[. ]\d{2}){4}|\d{3} \d{3} \d{4}"
 )
@@ -187,7 +193,11 @@ def spans(text: str) -> list[Span]:
         around = True if ahead else None if behind else False if kind in ("phone", "id_number") else None
         out.append(Span(TYPES.index(kind), b, e, (_vote(form), _vote(gazetteer), _vote(around), _vote(sceptic)), (float(ahead), float(behind), *extra)))
 
-    for m in PROPOSE["email"].finditer(text) if "@" in text or re.search(r"\bat\b|arroba|собака", text, re.I) else ():
+    if _SPELLED.search(text):
+        mails = PROPOSE["email"].finditer(text)
+    else:
+        mails = _PLAIN_MAIL.finditer(text) if "@" in text else ()
+    for m in mails:
         s = m.group().rstrip(".-")
         spelled = "@" not in s
         tail = re.split(r"[^\w]+", s.casefold())[-1]
@@ -207,7 +217,7 @@ def spans(text: str) -> list[Span]:
         digits = sum(c.isdigit() for c in s)
         strict = bool(_STRICT_ID.fullmatch(s))
         add("id_number", m.start(), m.end(), strict, any(c.isalpha() for c in s) or None, False if _STRICT_PHONE.fullmatch(s) and not strict or _LOOKS_ELSE.fullmatch(s) else None, digits / 15, float(s[0].isalpha()))
-    for m in PROPOSE["address"].finditer(text):
+    for m in PROPOSE["address"].finditer(text) if any(w in text for w in _STREET_WORDS) else ():
         s = m.group()
         add("address", m.start(), m.end(), bool(re.search(r"\d", s)), True, False if re.search(r"\d{4,}", s) and not re.search(r",", s) else None, len(s) / 40, float("," in s))
     for b, e, tokens, comma in _name_spans(text):
