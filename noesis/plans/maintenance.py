@@ -137,6 +137,34 @@ def entity_relations(t: Store) -> DataFrame:
     return pairs.select("source_id", "target_id", "edge_type").distinct().join(t("edges", "source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti")
 
 
+@catalog(
+    "j19_hub_relations",
+    """WITH l AS (SELECT DISTINCT node_id, entity_id FROM node_entities WHERE node_id IS NOT NULL), many AS (SELECT entity_id FROM l GROUP BY 1 HAVING count(*) > 50)
+    SELECT entity_id, node_id, CASE WHEN lower(trim(e.entity_type)) = 'tech' THEN 'depends_on' ELSE 'related_to' END AS edge_type FROM l JOIN many USING (entity_id) JOIN entities e ON e.id = entity_id""",
+)
+def hub_relations(t: Store) -> DataFrame:
+    """The relations of entities on more than 50 notes, in linear form: any two members of an entity, smaller id first, are
+    related by its edge_type unless they have an edge in that direction; ``hub_pairs`` writes them out."""
+    links = t("node_entities", "node_id", "entity_id").filter("node_id is not null").distinct()
+    many = links.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 50").select("entity_id")
+    kind = F.when(F.lower(F.trim("entity_type")) == "tech", "depends_on").otherwise("related_to")
+    return links.join(many, "entity_id").join(t("entities", F.col("id").alias("entity_id"), kind.alias("edge_type")), "entity_id").select("entity_id", "node_id", "edge_type")
+
+
+def hub_pairs(t: Store, sources: DataFrame | None = None) -> DataFrame:
+    """``hub_relations`` as pairs, of all notes or those of ``sources`` (id): without existing edges. Their number grows with
+    the square of an entity's notes, so members are dealt over tasks."""
+    members = hub_relations(t)
+    first = members.select("entity_id", F.col("node_id").alias("source_id"), "edge_type")
+    if sources is not None:
+        first = first.join(sources.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+    deal = 16
+    first = first.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(deal)))
+    second = members.select("entity_id", F.col("node_id").alias("target_id"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(deal)])).alias("part"))
+    pairs = first.join(second, ["entity_id", "part"]).filter("source_id < target_id").select("source_id", "target_id", "edge_type").distinct()
+    return pairs.join(t("edges", "source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti")
+
+
 @catalog("m18_topics", """WITH w AS (SELECT representative_node_id AS id, cluster_hash, top_terms FROM cluster_summaries WHERE top_terms IS NOT NULL), x AS (SELECT cluster_hash, unnest(regexp_extract_all(lower(top_terms), '[a-zA-ZЀ-ӿ]{4,}')) AS term FROM w),
     c AS (SELECT cluster_hash, term, count(*) AS n FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_hash ORDER BY n DESC, term) AS r FROM c) SELECT cluster_hash, string_agg(term, ' / ' ORDER BY term) AS topic FROM r WHERE r <= 3 GROUP BY 1""")
 def topics(t: Store) -> DataFrame:
