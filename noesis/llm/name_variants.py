@@ -14,8 +14,8 @@ who share only a family name.
 
 The declared type is not trusted: what a name is follows from its words; it is used only for names of one bare word.
 
-Result: all pairs inside a cluster, smaller id first, for clusters up to ``CLUSTER_LIMIT`` rows; larger clusters give each
-row's pair with the smallest id of the cluster. Defined cases: null, empty and wordless names link to nothing; very long
+Result: all pairs inside a cluster of any size, smaller id first. Only of more than ``COPY_LIMIT`` rows with one and the same
+written name the smallest id stands for the others, which come as their pairs with it. Defined cases: null, empty and wordless names link to nothing; very long
 names are read whole; repeated rows of one id are one; an empty table gives no row.
 """
 
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from noesis.operators.components import connected_components
 from noesis.session import cut, slots
 
-CLUSTER_LIMIT = 64
+COPY_LIMIT = 64
+ROWS_PER_PART = 64
 FAMILY_LEAST = 0.90
 GIVEN_LEAST = 0.86
 KNOWN_LEAST = 0.92
@@ -303,9 +304,17 @@ def name_clusters(df: DataFrame, key: str, name: str, kind: str | None = None) -
 def name_variants(df: DataFrame, key: str, name: str, kind: str | None = None) -> DataFrame:
     """``a, b``: pairs of rows that mean the same person or organisation, smaller id first."""
     of = cut(name_clusters(df, key, name, kind), "name-clusters")
-    sizes = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    many = of.join(sizes, "cluster")
-    small = many.filter(F.col("rows") <= CLUSTER_LIMIT)
-    pairs = small.select("cluster", F.col("id").alias("a")).join(small.select("cluster", F.col("id").alias("b")), "cluster").filter("a < b").select("a", "b")
-    star = many.filter((F.col("rows") > CLUSTER_LIMIT) & (F.col("id") != F.col("cluster"))).select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+    sizes = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("cluster")
+    written = df.select(F.col(key).cast("long").alias("id"), F.col(name).alias("name")).groupBy("id").agg(F.min("name").alias("name"))
+    many = cut(of.join(sizes, "cluster").join(written, "id"), "name-rows")
+    copies = many.groupBy("cluster", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > COPY_LIMIT)
+    marked = many.join(copies, ["cluster", "name"], "left")
+    star = marked.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    units = cut(marked.filter("rep is null or id = rep").select("cluster", "id"), "name-units")
+    # a big cluster is dealt over tasks: one side by hash, the other to every part
+    parts = units.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_PART)).cast("long").alias("parts"))
+    dealt = units.join(parts, "cluster")
+    left = dealt.select("cluster", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    right = dealt.select("cluster", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["cluster", "part"]).filter("a < b").select("a", "b")
     return pairs.unionByName(star)

@@ -101,6 +101,20 @@ def test_name_links(spark):
     assert M.name_variants(df.limit(0), "id", "name").count() == 0
 
 
+def test_name_variants_of_large_clusters(spark):
+    """Many spellings of one person give all their pairs; many rows of one written name stand behind the smallest id."""
+    spelled = [f"{title}{name}" for title in ("", "Dr. ", "Prof. ", "Mr ", "Ms ", "Mrs. ", "Frau ", "Herr ", "Miss ") for given in ("Katherine", "Kate", "Kathy", "KATIE") for name in (f"{given} Petrova", f"{given} PETROVA", f"Petrova, {given}")]
+    spelled = list(dict.fromkeys(spelled))
+    assert len(spelled) > 100
+    df = spark.createDataFrame(list(enumerate(spelled)), "id long, name string")
+    got = [tuple(r) for r in M.name_variants(df, "id", "name").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(len(spelled)) for b in range(a + 1, len(spelled))}
+    rows = [*[(k, "Kate Petrova") for k in range(10, 110)], (5, "Dr. Kate Petrova"), (200, "Katherine PETROVA"), (201, "Katherine PETROVA")]
+    got = [tuple(r) for r in M.name_variants(spark.createDataFrame(rows, "id long, name string"), "id", "name").collect()]
+    units = [5, 10, 200, 201]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in units for b in units if a < b} | {(10, k) for k in range(11, 110)}
+
+
 LINES = {
     "en": ["The night job renamed the old table and nobody noticed it.", "We kept the weights because the review was late.", "Again the summary changed after the second restart."],
     "de": ["Die Nacht war lang und niemand hatte die Zahlen geprüft.", "Wir behielten die alten Gewichte wegen der Wartung.", "Wieder einmal war der Speicher kalt und leer."],
