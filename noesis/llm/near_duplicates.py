@@ -12,9 +12,9 @@ cost one index entry each and never meet each other. Index entries travel as pac
 the record's id each) instead of rows; the number of index partitions follows the number of records. Candidates grow with
 the square of the records only at the rate similarity**GROUP.
 
-Result: pairs, smaller id first. Classes of at most ``CLASS_LIMIT`` members are written out as all their pairs; a larger
-class gives each member's pair with its representative (the smallest id), and the representative stands for it in pairs
-with other classes, so no link between different texts is lost.
+Result: pairs, smaller id first. Classes are written out as all their pairs. Only in a class of more than ``CLASS_LIMIT``
+members, of more than ``CLASS_LIMIT`` records with one and the same text the smallest id stands for the others, which come
+as their pairs with it; so no link between different texts is lost.
 
 Defined cases: null, empty and short texts (fewer words than a sequence) have an empty set and no pair; texts of any
 length are taken whole; repeated rows of one id are one record; an empty table gives no row.
@@ -122,7 +122,7 @@ def _meet(threshold: float, block: int = 1_000_000):
             key, rec, n = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
             order = np.argsort(key, kind="stable")
-            key, rec, n = key[order], rec[order], n[order].astype(np.float32)
+            key, rec, n = key[order], rec[order], n[order].astype(np.float64)
             same = np.zeros(len(key), bool)
             same[1:] = key[1:] == key[:-1]
             shared = same.copy()
@@ -138,7 +138,7 @@ def _meet(threshold: float, block: int = 1_000_000):
                 for at in range(0, len(live), block):
                     i = live[at : at + block]
                     j = i + step
-                    fit = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) | (np.minimum(n[i], n[j]) == 65535)
+                    fit = (np.minimum(n[i], n[j]) >= (threshold - 1e-9) * np.maximum(n[i], n[j])) | (np.minimum(n[i], n[j]) == 65535)
                     i, j = i[fit], j[fit]
                     a, c = np.minimum(rec[i], rec[j]), np.maximum(rec[i], rec[j])
                     pairs = np.unique(np.stack([a, c], 1)[a != c], axis=0)
@@ -215,14 +215,22 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: float = 0.
     linked = both.select("a", "b", "ta", "tb").mapInPandas(_verify(width, threshold), "a long, b long, similarity double")
 
     copies = hashed.join(reps.filter("members > 1"), ["h1", "h2"]).select("rep", "id", "members").distinct()
-    small = copies.filter(F.col("members") <= CLASS_LIMIT)
+    large = copies.filter(F.col("members") > CLASS_LIMIT)
+    written = texts.join(large.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.sha2(F.encode("text", "UTF-8"), 256)).alias("form"))
+    formed = cut(large.join(written, "id"), "forms")
+    many = formed.groupBy("rep", "form").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > CLASS_LIMIT)
+    marked = formed.join(many, ["rep", "form"], "left")
+    star = marked.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    small = cut(copies.filter(F.col("members") <= CLASS_LIMIT).select("rep", "id").unionByName(marked.filter("first is null or id = first").select("rep", "id")), "members")
     out = linked
     for side in ("a", "b"):
         member = small.select(F.col("rep").alias(side), F.col("id").alias("member"))
         out = out.join(member, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
-    other = small.select("rep", F.col("id").alias("other"))
-    within = small.join(other, "rep").filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    star = copies.filter(F.col("members") > CLASS_LIMIT).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # a big class is dealt over tasks: one side by hash, the other to every part
+    dealt = small.join(small.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / F.lit(CLASS_LIMIT)).cast("long").alias("parts")), "rep")
+    one = dealt.select("rep", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    other = dealt.select("rep", F.col("id").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    within = one.join(other, ["rep", "part"]).filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
     same = within.unionByName(star).withColumn("similarity", F.lit(1.0))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(same)
 

@@ -58,6 +58,23 @@ def test_hot_copies(spark):
     assert got == {(0, k) for k in range(1, 400)} | {(0, 5000)}
 
 
+def test_subsets_at_the_threshold(spark):
+    """15 of 25 sequences: the size filter lets pairs at exactly 0.6 through."""
+    text = lambda k, n: " ".join(f"p{k}w{j}" for j in range(n))
+    rows = [r for k in range(40) for r in ((2 * k, text(k, 17)), (2 * k + 1, text(k, 27)))]
+    df = spark.createDataFrame(rows, "id long, content string")
+    got = {(r.a, r.b) for r in N.near_duplicates(df, "id", "content", threshold=0.6, width=3).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(40)} and len(got) >= 36
+
+
+def test_large_class_of_different_texts(spark):
+    """Records of one set but different texts all meet; only same texts stand behind one id."""
+    rows = [(k, "the same old note about the memory graph" + "!" * k) for k in range(40)] + [(100 + k, "The same old note about the memory graph") for k in range(50)] + [(500, "the same old note about the memory graph again")]
+    got = [(r.a, r.b) for r in N.near_duplicates(spark.createDataFrame(rows, "id long, content string"), "id", "content", threshold=0.6, width=3).collect()]
+    units = [*range(40), 100, 500]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in units for b in units if a < b} | {(100, 100 + k) for k in range(1, 50)}
+
+
 def test_groups_for_threshold():
     g = N.groups_for(0.6)
     assert 1 - (1 - 0.6**N.GROUP) ** g >= 0.989
