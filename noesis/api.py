@@ -49,5 +49,5 @@ class Memory:
 
         return nearest(queries, self.store("nodes", "id", "embedding"), k=k, least=least)
 
-    def sleep_compute(self, *, now: str, dry_run: bool = True, steps: list[str] | None = None) -> tuple[dict[str, int], DataFrame]:
+    def sleep_compute(self, *, now: str, dry_run: bool = True, steps: list[str] | None = None) -> tuple[dict[str, int], DataFrame, DataFrame]:
         return maintenance.run(self.store, now=now, dry_run=dry_run, steps=steps)

@@ -2,24 +2,27 @@
 
 A step is a function of a Store and returns a frame of new edges (source_id, target_id, edge_type, weight) or of changed
 rows; ``run`` applies them in their fixed order and only where asked, so a dry run is the same without the last line.
-Edges of a step replace that step's edges of the run before, so running twice is running once."""
+Edges of a step replace that step's edges of the run before, or are added where they are not there, so running twice is
+running once; only decay takes its factor again in each run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noesis import vocabulary as V
 from noesis.functions import text, vectors
-from noesis.operators import edits, graph, joins, similarity, text_index
+from noesis.operators import access, edits, graph, joins, similarity, text_index
 from noesis.plans.registry import Catalog, Store
 from noesis.plans.relational import band_similar, temporal_chains
 
 catalog = Catalog()
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
 OUT = ["source_id", "target_id", "edge_type", "weight"]
+STALE_DAYS = 90
 
 
 def _both_ways(pairs: DataFrame, kind: str, weight) -> DataFrame:
@@ -73,9 +76,9 @@ def contradictions(t: Store) -> DataFrame:
 
 
 @catalog("j08_identity_pairs", f"WITH u AS (SELECT * FROM ({_UNIT}) WHERE category IN ({', '.join(repr(c) for c in V.IDENTITY)})) SELECT a.id AS a, b.id AS b, round(array_inner_product(a.v, b.v), 4) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE array_inner_product(a.v, b.v) >= 0.7")
-def identity(t: Store) -> DataFrame:
+def identity(t: Store, least: float = 0.7) -> DataFrame:
     notes = usable_notes(t, "category").filter(F.col("category").isin(V.IDENTITY))
-    return similarity.similar_pairs(notes, "id", "embedding", least=0.7).withColumn("similarity", F.round("similarity", 4))
+    return similarity.similar_pairs(notes, "id", "embedding", least=least).withColumn("similarity", F.round("similarity", 4))
 
 
 @catalog(
@@ -234,35 +237,113 @@ def m21(t: Store) -> DataFrame:
     return signals(t)
 
 
-EDGE_STEPS: list[tuple[str, list[str], Callable[[Store], DataFrame]]] = [
-    ("consolidation", ["consolidation"], thematic),
-    ("chains", ["temporal_chain"], chains),
-    ("contradictions", ["CONTRADICTS"], lambda t: contradictions(t).select("source_id", "target_id", F.lit("CONTRADICTS").alias("edge_type"), (-F.col("similarity") / 3).alias("weight"))),
-    ("resonance", ["EMOTIONAL_RESONANCE"], resonance),
-    ("generalises", ["GENERALIZES"], lambda t: generalises(t).select("source_id", "target_id", F.lit("GENERALIZES").alias("edge_type"), "weight")),
-    ("supersedes", ["SUPERSEDES"], lambda t: supersedes(t).select("source_id", "target_id", F.lit("SUPERSEDES").alias("edge_type"), "weight")),
+def _edges(df: DataFrame, kind: str, weight) -> DataFrame:
+    return df.select("source_id", "target_id", F.lit(kind).alias("edge_type"), weight.cast("double").alias("weight"))
+
+
+def contradiction_edges(t: Store) -> DataFrame:
+    """Both directions of the contradictions, and of the identity conflicts not among them with 0.8 of their similarity."""
+    found = contradictions(t)
+    of_time = found.select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), (-F.col("similarity") / 3).alias("weight"))
+    conflicts = identity(t, 0.5).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (F.col("similarity") * -0.8).alias("weight"))
+    rest = conflicts.join(of_time.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
+    return _both_ways(of_time.unionByName(rest), "CONTRADICTS", F.col("weight"))
+
+
+def generalise_edges(t: Store) -> DataFrame:
+    found = generalises(t)
+    back = found.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight")
+    return _edges(found, "GENERALIZES", F.col("weight")).unionByName(_edges(back, "INSTANTIATES", F.col("weight")))
+
+
+def relation_edges(t: Store) -> DataFrame:
+    every = entity_relations(t).unionByName(hub_pairs(t)).distinct()
+    return every.select("source_id", "target_id", "edge_type", F.lit(0.5).alias("weight"))
+
+
+def _prospective(t: Store, now: str) -> DataFrame:
+    return edits.prospective(t.nodes, now[:10])
+
+
+def _boosted(t: Store, now: str) -> DataFrame:
+    return edits.boosted(t.nodes, access.protected_categories(t("nodes", "category", "importance")))
+
+
+def _demoted(t: Store, now: str) -> DataFrame:
+    older = t("edges", "target_id", "edge_type", "created_at").filter((F.col("edge_type") == "SUPERSEDES") & (F.col("created_at") == F.lit(now).cast("timestamp"))).select(F.col("target_id").alias("id")).distinct().withColumn("_old", F.lit(True))
+    n = t.nodes.join(older, "id", "left")
+    return n.withColumn("importance", F.when(F.col("_old") & (F.col("importance") == "normal"), "low").otherwise(F.col("importance"))).drop("_old")
+
+
+def _decayed(t: Store, now: str) -> DataFrame:
+    safe = access.protected_categories(t("nodes", "category", "importance"))
+    ids = t("nodes", "id", "category").withColumn("category", F.lower("category")).join(safe, "category", "left_semi").select("id")
+    cutoff = (datetime.fromisoformat(now) - timedelta(days=STALE_DAYS)).isoformat(sep=" ")
+    return edits.decayed(t.edges, ids, access.stale("created_at", "weight", cutoff))
+
+
+def _duplicates(t: Store, now: str) -> DataFrame:
+    from noesis.plans.relational import j05
+
+    return j05(t)
+
+
+def _orphans(t: Store, now: str) -> DataFrame:
+    return joins.orphan_notes(t("nodes", "id", "category"), t("edges", "source_id", "target_id"))
+
+
+#: In their fixed order: name, what the step does, edge types it replaces, step. "edges" replace the edges of these types,
+#: "insert" adds edges whose triple is not there, "nodes" and "weights" give the whole changed table, "report" only counts.
+STEPS: list[tuple[str, str, list[str], Callable]] = [
+    ("consolidation", "edges", ["consolidation"], lambda t, now: thematic(t)),
+    ("chains", "edges", ["temporal_chain"], lambda t, now: chains(t)),
+    ("contradictions", "edges", ["CONTRADICTS"], lambda t, now: contradiction_edges(t)),
+    ("resonance", "edges", ["EMOTIONAL_RESONANCE"], lambda t, now: resonance(t)),
+    ("generalises", "edges", ["GENERALIZES", "INSTANTIATES"], lambda t, now: generalise_edges(t)),
+    ("relations", "insert", [], lambda t, now: relation_edges(t)),
+    ("orphans", "report", [], _orphans),
+    ("prospective", "nodes", [], _prospective),
+    ("decay", "weights", [], _decayed),
+    ("boost", "nodes", [], _boosted),
+    ("duplicates", "report", [], _duplicates),
+    ("supersedes", "insert", [], lambda t, now: _edges(supersedes(t), "SUPERSEDES", F.col("weight"))),
+    ("demote", "nodes", [], _demoted),
 ]
 
 
-def run(t: Store, *, now: str, dry_run: bool = True, steps: list[str] | None = None) -> tuple[dict[str, int], DataFrame]:
-    """Counts per step and the edge table after all of them (unchanged on a dry run). Each step sees the edges of the steps
-    before; the table is cut after each, so plans do not pile up."""
+def run(t: Store, *, now: str, dry_run: bool = True, steps: list[str] | None = None) -> tuple[dict[str, int], DataFrame, DataFrame]:
+    """Counts per step, and the edge and note tables after all of them (unchanged on a dry run). Each step sees the tables
+    after the steps before; they are cut after each, so plans do not pile up. Counts are new or reported rows, for changed
+    tables the rows that change."""
     from noesis.session import cut
 
     class After(Store):
-        def __init__(self, edges: DataFrame) -> None:
+        def __init__(self, **now: DataFrame) -> None:
             super().__init__(t.spark, t.base)
-            self._edges = edges
+            self._now = now
 
         def __call__(self, name: str, *columns) -> DataFrame:
-            return (self._edges.select(*columns) if columns else self._edges) if name == "edges" else super().__call__(name, *columns)
+            df = self._now.get(name)
+            return t(name, *columns) if df is None else df.select(*columns) if columns else df
 
-    edges, counts = t.edges, {}
-    for name, kinds, step in EDGE_STEPS:
+    edges, nodes, counts = t.edges, t.nodes, {}
+    for name, does, kinds, step in STEPS:
         if steps and name not in steps:
             continue
-        new = cut(step(After(edges)).select(*OUT).withColumn("created_at", F.lit(now).cast("timestamp")), f"step-{name}")
-        counts[name] = new.count()
-        if not dry_run:
-            edges = cut(edits.replace_edges(edges, new.select(*edges.columns), kinds), "edges")
-    return counts, edges
+        out = step(After(edges=edges, nodes=nodes), now)
+        if does == "report":
+            counts[name] = out.count()
+        elif does in ("nodes", "weights"):
+            old = nodes if does == "nodes" else edges
+            new = cut(out.select(*old.columns), name)
+            counts[name] = new.exceptAll(old).count()
+            if not dry_run:
+                nodes, edges = (new, edges) if does == "nodes" else (nodes, new)
+        else:
+            new = out.select(*OUT).withColumn("created_at", F.lit(now).cast("timestamp"))
+            new = cut(edits.insert_edges(edges, new) if does == "insert" else new, f"step-{name}")
+            counts[name] = new.count()
+            if not dry_run:
+                both = edits.replace_edges(edges, new.select(*edges.columns), kinds) if kinds else edges.unionByName(new.select(*edges.columns))
+                edges = cut(both, "edges")
+    return counts, edges, nodes

@@ -36,3 +36,31 @@ def test_entity_relations_of_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     some = {tuple(r) for r in M.hub_pairs(t, spark.createDataFrame([(52,)], "id long")).collect()}
     assert some == {(a, b, k) for a, b, k in want if a == 52}
+
+
+def test_run_carries_notes_and_edges(spark):
+    """The batch on the smallest tables: every wired step runs, notes change, and a second run adds no edge."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from noesis.plans.registry import Store
+
+    base = "/root/testdata/sf0.001"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    t = Store(spark, base)
+    some = ["contradictions", "generalises", "relations", "boost", "supersedes", "demote"]
+    counts, edges, nodes = M.run(t, now="2026-01-01 00:00:00", dry_run=False, steps=some)
+    assert list(counts) == some and counts["relations"] > 0 and counts["boost"] > 0
+    kinds = {r[0]: r[1] for r in edges.groupBy("edge_type").count().collect()}
+    assert kinds.get("GENERALIZES", 0) == kinds.get("INSTANTIATES", 0)
+    pairs = {(r.source_id, r.target_id) for r in edges.filter("edge_type = 'CONTRADICTS'").collect()}
+    assert pairs == {(b, a) for a, b in pairs}
+    conflicts = {(r.a, r.b) for r in M.identity(t, 0.5).collect()}
+    assert conflicts and conflicts <= pairs
+    old = edges.filter("edge_type = 'SUPERSEDES' and created_at = timestamp '2026-01-01 00:00:00'").select(F.col("target_id").alias("id"))
+    assert nodes.join(old, "id", "left_semi").filter("importance = 'normal'").count() == 0
+    after = Small(spark, edges=edges, nodes=nodes, **{n: t(n) for n in ("entities", "node_entities")})
+    assert M.relation_edges(after).count() == 0
