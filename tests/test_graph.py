@@ -80,3 +80,51 @@ def test_cluster_links(spark):
     large = [(k, 1000) for k in range(1000, 1060)]
     got = graph.cluster_links(spark.createDataFrame(small + middle + large, "id long, leader long")).collect()
     assert len([g for g in got if g.source_id < 100]) == 6 and len([g for g in got if 100 <= g.source_id < 1000]) == 19 and not [g for g in got if g.source_id >= 1000]
+
+
+def test_ranks_and_communities_to_their_stopping_rule(spark):
+    from collections import defaultdict
+
+    import pytest
+
+    from noesis.plans import graphs
+
+    r = random.Random(8)
+    rows = [(k, k + 1, 1.0, "s") for k in range(60)] + [(r.randrange(40), r.randrange(61), r.random(), "s") for _ in range(60)]
+    df = spark.createDataFrame(rows, "source_id long, target_id long, weight double, edge_type string")
+    store = lambda name, *columns: df.select(*columns)
+    best = {}
+    for a, b, w, _ in rows:
+        best[a, b] = max(w, best.get((a, b), 0))
+    total = defaultdict(float)
+    for (a, _), w in best.items():
+        total[a] += w
+    ids = {x for e in best for x in e}
+    n = len(ids)
+    rank, rounds, moved = {x: 1 / n for x in ids}, 0, 1.0
+    while moved >= n * 1e-4:
+        loose = sum(v for x, v in rank.items() if x not in total)
+        new = {x: 0.15 / n + 0.85 * loose / n for x in ids}
+        for (a, b), w in best.items():
+            new[b] += 0.85 * rank[a] * w / total[a]
+        rank, moved, rounds = new, sum(abs(new[x] - rank[x]) for x in ids), rounds + 1
+    assert rounds > 5
+    got = {x.node_id: x.rank for x in graphs.g07c(store).collect()}
+    assert got == pytest.approx({x: v / max(rank.values()) for x, v in rank.items()}, abs=2e-6)
+
+    links = defaultdict(float)
+    for a, b, w, _ in rows:
+        if a != b:
+            links[a, b] += w
+            links[b, a] += w
+    label = {a: a for a, _ in links}
+    for rounds in range(1, 11):
+        votes = {x: defaultdict(float, {label[x]: 1.0}) for x in label}
+        for (a, b), w in links.items():
+            votes[a][label[b]] += w
+        new = {x: min((-round(w, 9), c) for c, w in v.items())[1] for x, v in votes.items()}
+        moved, label = sum(new[x] != label[x] for x in label), new
+        if moved * 1000 < len(label):
+            break
+    assert rounds > 2
+    assert {x.node_id: x.community for x in graphs.g09c(store).collect()} == label
