@@ -39,6 +39,12 @@ def p3_summary_scores(spark: SparkSession, base: str) -> DataFrame:
     return w.select("record_id", "term", "tf", "df", "cf", F.round("ridf", 4).alias("ridf"), F.round("score", 4).alias("score"))
 
 
+def p3_note_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Residual inverse document frequency of every term of every note."""
+    w = term_weights.term_weights(load(spark, base, "nodes", "id", "content"), "id", "content")
+    return w.select("record_id", "term", "tf", "df", "cf", F.round("ridf", 4).alias("ridf"), F.round("score", 4).alias("score"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     out = byte_language.label_repairs(load(spark, base, "nodes", "id", "content"), load(spark, base, "note_langs", "node_id", "lang_label"))
     return out.select("node_id", "segment_no", "lang")
@@ -96,7 +102,7 @@ def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_near_five_words, p1_copy_classes, p3_found, p3_summary_scores, p4_found, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
+        p1_found, p1_near_five_words, p1_copy_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
     )
 }
 
@@ -124,6 +130,9 @@ SQL: dict[str, str] = {
     "p3_summary_scores": f"""WITH {_TERM_STATS.format(t="cluster_summaries", c="top_terms")}
         SELECT id AS record_id, term, tf, df, cf::BIGINT AS cf, round(log2(n / df) + log2(1 - exp(-cf / n)), 4) AS ridf,
                round((log2(n / df) + log2(1 - exp(-cf / n))) * tf, 4) AS score FROM w_cluster_summaries""",
+    "p3_note_scores": f"""WITH {_TERM_STATS.format(t="nodes", c="content")}
+        SELECT id AS record_id, term, tf, df, cf::BIGINT AS cf, round(log2(n / df) + log2(1 - exp(-cf / n)), 4) AS ridf,
+               round((log2(n / df) + log2(1 - exp(-cf / n))) * tf, 4) AS score FROM w_nodes""",
     "p6_found": """WITH good AS (
           SELECT id, [x::DOUBLE FOR x IN embedding] AS v FROM nodes
           WHERE len(embedding) = 128 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
