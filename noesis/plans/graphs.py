@@ -274,7 +274,8 @@ def r17(t: Store) -> DataFrame:
 
 @catalog("r21_search")
 def search(t: Store) -> DataFrame:
-    """The whole retrieval: seeds, routed spreading, BM25, recency and importance, blend, penalties, inhibition, top 10."""
+    """Retrieval: seeds, routed spreading with late inhibition, BM25, recency and importance, blend, penalties, inhibition by
+    community and by part, top 10; without what ``retrieval.search`` lists as not done."""
     q = t("nodes", "id", "category", "content", "embedding").filter("category = 'breakthrough'")
     from noesis.plans.retrieval import search as run
 
