@@ -38,7 +38,7 @@ def usable_notes(t: Store, *columns: str) -> DataFrame:
 def thematic(t: Store) -> DataFrame:
     """Leader clusters of similar notes and their links."""
     notes = usable_notes(t)
-    clusters = graph.leader_clusters(notes.select("id"), similarity.similar_pairs(notes, "id", "embedding", least=0.85))
+    clusters = graph.leader_clusters(notes.select("id"), similarity.similar_pairs(notes, "id", "embedding", least=0.75))
     return _both_ways(graph.cluster_links(clusters), "consolidation", F.lit(0.9))
 
 
@@ -81,6 +81,12 @@ def identity(t: Store, least: float = 0.7) -> DataFrame:
     return similarity.similar_pairs(notes, "id", "embedding", least=least).withColumn("similarity", F.round("similarity", 4))
 
 
+@catalog("j08_identity_conflicts", f"WITH u AS (SELECT * FROM ({_UNIT}) WHERE category IN ({', '.join(repr(c) for c in V.IDENTITY)})) SELECT a.id AS a, b.id AS b, round(array_inner_product(a.v, b.v), 4) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE array_inner_product(a.v, b.v) >= 0.5")
+def identity_conflicts(t: Store) -> DataFrame:
+    """Identity pairs at the reference's bound; ``j08_identity_pairs`` has a narrower one."""
+    return identity(t, 0.5)
+
+
 @catalog(
     "j09_generalises",
     f"""WITH u AS ({_UNIT}), s AS (SELECT a.id AS source_id, b.id AS target_id, array_inner_product(a.v, b.v) AS c FROM u a JOIN u b ON a.category IN ({', '.join(repr(c) for c in V.CONCRETE)}) AND b.category IN ({', '.join(repr(c) for c in V.ABSTRACT)})),
@@ -178,9 +184,13 @@ def topics(t: Store) -> DataFrame:
     return best.groupBy("cluster_hash").agg(F.array_join(F.array_sort(F.collect_list("term")), " / ").alias("topic"))
 
 
+def topic_count(n: int) -> int:
+    return max(2, min(max(10, n // 30), n // 3))
+
+
 @catalog("m19_kmeans_topics")
 def kmeans(t: Store) -> DataFrame:
-    """Notes by k-means on unit vectors: k = min(max(10, n / 30), n / 3), at most 500, seed 42."""
+    """Notes by k-means on unit vectors: k = min(max(10, n / 30), n / 3), seed 42."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -189,8 +199,7 @@ def kmeans(t: Store) -> DataFrame:
     n = rows.count()
     if n < 10:
         return rows.select("id", F.lit(0).alias("topic"))
-    k = max(2, min(max(10, n // 30), n // 3, 500))
-    model = KMeans(k=k, seed=42, maxIter=10).fit(rows)
+    model = KMeans(k=topic_count(n), seed=42, maxIter=10).fit(rows)
     return model.transform(rows).select("id", F.col("prediction").alias("topic"))
 
 

@@ -64,3 +64,11 @@ def test_run_carries_notes_and_edges(spark):
     assert nodes.join(old, "id", "left_semi").filter("importance = 'normal'").count() == 0
     after = Small(spark, edges=edges, nodes=nodes, **{n: t(n) for n in ("entities", "node_entities")})
     assert M.relation_edges(after).count() == 0
+
+
+def test_bounds_of_topics_and_links(spark, monkeypatch):
+    assert [M.topic_count(n) for n in (10, 60, 600, 200_000)] == [3, 10, 20, 6666]
+    seen = []
+    monkeypatch.setattr(M.similarity, "similar_pairs", lambda notes, *a, least, **k: seen.append(least) or notes.selectExpr("id as a", "id as b", "1.0 as similarity").limit(0))
+    M.thematic(Small(spark, nodes=spark.createDataFrame([(1, [1.0] * 128)], "id long, embedding array<float>")))
+    assert seen == [0.75]
