@@ -26,6 +26,19 @@ def test_term_weights(spark):
     assert T.term_weights(df.limit(0), "id", "content").count() == 0
 
 
+def test_repeated_rows_and_the_residual_floor(spark):
+    """Rows of one id add up, terms and length; the floor by residual lets every case through."""
+    df = spark.createDataFrame([(1, "apple pear"), (1, "apple pear"), (2, "plum")], "id long, content string")
+    got = {(r.record_id, r.term): (r.tf, r.length, r.share, r.n) for r in T.term_weights(df, "id", "content").collect()}
+    assert got == {(1, "apple"): (2, 4, 0.5, 2), (1, "pear"): (2, 4, 0.5, 2), (2, "plum"): (1, 1, 1.0, 2)}
+    r = random.Random(5)
+    docs = [(k, " ".join(f"word{min(int(r.expovariate(0.08)), 60)}" for _ in range(r.randrange(15, 60))) + f" rare{k // 3}" * (k % 7)) for k in range(300)]
+    notes = spark.createDataFrame(docs, "id long, content string")
+    every = T.term_weights(notes, "id", "content").filter("length >= 20 and share * rarity >= 0.06")
+    got = {(x.record_id, x.term) for x in T.distinctive_note_terms(notes).collect()}
+    assert got == {(x.record_id, x.term) for x in every.collect()} and got
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     r = random.Random(1)
