@@ -92,10 +92,34 @@ def test_leaks_against_brute_force(spark):
             if best >= 6:
                 want[i, j] = best
     assert got == want and want
+    small = {(x.doc_id, x.item_id): x.words for x in L.eval_leaks(d, e, least=6, shard_words=150, item_words=120).collect()}
+    assert small == want
     assert L.eval_leaks(d.limit(0), e).count() == 0 and L.eval_leaks(d, e.limit(0)).count() == 0
     assert L.without_leaks(d, L.eval_leaks(d, e, least=6)).filter("doc_id = 902").count() == 0
 
 
+def test_suffix_array():
+    r = np.random.default_rng(4)
+    seq = np.concatenate([x for k in range(30) for x in (r.integers(0, 4, r.integers(1, 40)), [-k - 1])]).astype(np.int64)
+    order, common = L.suffix_array(seq)
+    want = sorted(range(len(seq)), key=lambda i: seq[i:].tolist())
+    assert order.tolist() == want
+    for a, b, n in zip(want, want[1:], common[1:]):
+        assert (seq[a : a + n] == seq[b : b + n]).all() and seq[a + n] != seq[b + n]
+
+
+def test_whole_short_items_and_copies(spark):
+    """Items under the bound count only where asked for; a passage in many documents is found in each."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = [(k, text) for k in range(200)] + [(300, "so alpha Beta, gamma end"), (301, "alpha beta"), (302, text + " " + text)]
+    items = [(1, " ".join(f"w{k}" for k in range(5, 30))), (2, "alpha beta gamma"), (3, "alpha beta gamma"), (4, "zeta")]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, L.eval_leaks(d, e).collect()))
+    assert got == [(k, 1, 25, 5, 0) for k in [*range(200), 302]]
+    short = sorted(map(tuple, L.eval_leaks(d, e, whole_short=True).collect()))
+    assert short == sorted([*got, (300, 2, 3, 1, 0), (300, 3, 3, 1, 0)])
+
+
 def test_names():
     read = lambda n: M.read_name(n)[:3]
     assert read("Dr. William K. Nufonupo") == read("NUFONUPO, Bill T.") == read("william_nufonupo") == read("Nufonupo William") == ("person", "nufonupo", "william")
