@@ -81,10 +81,15 @@ def _cut_blocks(pattern: str):
 
 def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         import tiktoken
+        from pyspark import SparkFiles
+
+        sent = SparkFiles.get(os.path.basename(path))
 
         # a piece is never cut again: the pattern takes it whole
-        whole = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+        whole = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(sent if os.path.exists(sent) else path), special_tokens={})
         for b in batches:
             found = [whole.encode_ordinary(p) for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["piece", "tokens"])
@@ -119,6 +124,7 @@ def _assemble(key: str, out: str):
 
 def encode_corpus(df: DataFrame, key: str, text: str, *, vocabulary: str = VOCABULARY, pattern: str = PATTERN, out: str = "ids") -> DataFrame:
     """``key, ids``: the token ids of every text, one row per row of ``df``."""
+    df.sparkSession.sparkContext.addFile(vocabulary)  # executors get the file with the job; they need not have it
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
     blocks = cut(rows.mapInArrow(_cut_blocks(pattern), "block string, ids array<long>, sizes binary, codes binary, pieces array<string>"), "token-blocks")
     pieces = blocks.select("block", F.posexplode("pieces").alias("at", "piece"))
@@ -131,25 +137,62 @@ def encode_corpus(df: DataFrame, key: str, text: str, *, vocabulary: str = VOCAB
 
 
 def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The token-byte table: ``token, bytes``. Its size is that of the vocabulary file."""
+    """The token-byte table: ``token, bytes``, one row per vocabulary entry, so its size is that of the vocabulary file."""
     ranks = read_ranks(vocabulary)
-    return spark.createDataFrame(pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+    return spark.createDataFrame(pa.table({"token": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())}))
 
 
-def decode_corpus(df: DataFrame, key: str, ids: str, *, vocabulary: str = VOCABULARY, out: str = "text") -> DataFrame:
-    """``key, text``: the inverse of ``encode_corpus``; an empty list gives an empty text, null gives null, an id outside
-    the vocabulary gives null. The table has one row per vocabulary entry (its file bounds it), so it is broadcast as a
-    map of the vocabulary's size; bytes are joined in order and read as UTF-8 once per text."""
+def _id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys and id lists as blocks: distinct ids of a block, and its lists as places among them."""
+    import uuid
+
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    name = f"{task.partitionId() if task else 0}-{uuid.uuid4().hex[:12]}"
+    n = 0
+    for whole in batches:
+        for lo in range(0, whole.num_rows, BLOCK_TEXTS):
+            b = whole.slice(lo, BLOCK_TEXTS)
+            lists = b.column(1)
+            flat = lists.flatten()
+            sizes = np.asarray(lists.value_lengths().fill_null(-1), np.int32)
+            known, codes = np.unique(np.asarray(flat.fill_null(-1), np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{name}-{n}"]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()),
+                    pa.array([codes.astype(np.int32).tobytes()], pa.binary()), pa.array([known.tolist()], pa.list_(pa.int64())),
+                ],
+                names=["block", "keys", "sizes", "codes", "tokens"],
+            )
+            n += 1
 
+
+def _to_text(key: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {v: k for k, v in read_ranks(vocabulary).items()}
         for b in batches:
-            texts = []
-            for tokens in b.column(1).to_pylist():
-                try:
-                    texts.append(None if tokens is None else b"".join([table[t] for t in tokens]).decode("utf-8", "replace"))
-                except KeyError:
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, out])
-
-    return df.select(F.col(key).cast("long").alias(key), F.col(ids)).mapInArrow(run, f"`{key}` long, `{out}` string")
+            for r in range(b.num_rows):
+                keys, sizes, codes, at, parts = (b.column(k)[r] for k in range(5))
+                piece: dict[int, bytes] = dict(zip(at.as_py(), parts.as_py()))
+                codes, texts, begin = np.frombuffer(codes.as_py(), np.int32).tolist(), [], 0
+                for n in np.frombuffer(sizes.as_py(), np.int32).tolist():
+                    own = [piece.get(c) for c in codes[begin : begin + n]] if n > 0 else []
+                    begin += max(n, 0)
+                    texts.append(None if n < 0 or None in own else b"".join(own).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(texts, pa.string())], names=[key, out])
+
+    return run
+
+
+def decode_corpus(df: DataFrame, key: str, ids: str, *, vocabulary: str = VOCABULARY, out: str = "text") -> DataFrame:
+    """``key, text``: the inverse of ``encode_corpus``; an empty list gives an empty text, null gives null, an id outside
+    the vocabulary gives null. The distinct ids of each block join the token-byte table, so the join sees a block's
+    vocabulary and never its tokens; bytes are put in order and read as UTF-8 once per text."""
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids"))
+    blocks = cut(rows.mapInArrow(_id_blocks, "block string, keys array<long>, sizes binary, codes binary, tokens array<long>"), "id-blocks")
+    wanted = blocks.select("block", F.posexplode("tokens").alias("at", "token"))
+    found = wanted.join(token_bytes(df.sparkSession, vocabulary), "token").groupBy("block").agg(F.collect_list(F.struct("at", "bytes")).alias("found"))
+    joined = blocks.drop("tokens").join(found, "block", "left").select(
+        "keys", "sizes", "codes", F.coalesce(F.col("found.at"), F.array().cast("array<int>")).alias("at"), F.coalesce(F.col("found.bytes"), F.array().cast("array<binary>")).alias("parts")
+    )
+    return joined.mapInArrow(_to_text(key, out), f"`{key}` long, `{out}` string")
