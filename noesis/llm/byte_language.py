@@ -193,12 +193,17 @@ def train(texts: list[str], labels: list[str], *, rounds: int = 700, batch: int
     """A network fitted to labelled texts (Adam); from half way on without sentences whose label it denies."""
     rng = np.random.default_rng(seed)
     names = [*LANGUAGES, NONE]
-    rows, y = [], []
+    # a sentence counts once, under the label most of its texts have: copies, however many, must not teach a wrong label
+    votes: dict[bytes, np.ndarray] = {}
     for t, lang in zip(texts, labels):
-        for s in sentences(t):
+        for s in set(sentences(t)):
             if telling_words(s) >= 3:
-                rows.append(_pieces(_bytes_of(s))[0])
-                y.append(names.index(lang))
+                votes.setdefault(_bytes_of(s), np.zeros(len(names)))[names.index(lang)] += 1
+    rows, y = [], []
+    for raw, n in votes.items():
+        for piece in _pieces(raw):
+            rows.append(piece)
+            y.append(int(n.argmax()))
     net = ByteGru(len(names))
     if not rows:
         return net
@@ -266,7 +271,8 @@ def stretches(score: np.ndarray, telling: np.ndarray, switch: float = SWITCH) ->
     for k in range(1, len(path) + 1):
         if k == len(path) or path[k] != path[first]:
             total = s[first:k].sum(0)
-            e = np.exp((total - total.max()) / max(1.0, 0.25 * abs(total.max())))
+            # sentences of one stretch are no independent witnesses: their evidence counts as their root
+            e = np.exp((total - total.max()) / (k - first) ** 0.5)
             begin = 0 if not out else int(use[first])
             end = len(score) if k == len(path) else int(use[k])
             out.append((begin, end, path[first], float(e[path[first]] / e.sum())))

@@ -50,6 +50,12 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return out.select("node_id", "segment_no", "lang")
 
 
+def p4_segments(spark: SparkSession, base: str) -> DataFrame:
+    """The stretches of ``p4_found`` with the confidence of their language and what the note's label names."""
+    out = byte_language.label_repairs(load(spark, base, "nodes", "id", "content"), load(spark, base, "note_langs", "node_id", "lang_label"))
+    return out.select("node_id", "segment_no", "lang", F.round("confidence", 6).alias("confidence"), "given")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     near = nearest_vectors.nearest_vectors(load(spark, base, "nodes", "id", "embedding"), "id", "embedding", k=5, dim=128, least=0.8)
     return near.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).distinct()
@@ -102,7 +108,7 @@ def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_near_five_words, p1_copy_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
+        p1_found, p1_near_five_words, p1_copy_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p4_segments, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
     )
 }
 
