@@ -32,7 +32,8 @@ NONE = "zz"
 SAMPLE = 4_000
 HIDDEN = 16
 PIECE = 96
-SWITCH = 6.0
+SWITCH = 8.0
+WHOLE_EVIDENCE = 128
 #: Codes and names of the languages, lower-case, without region (fixed values).
 LABELS = {
     "de": "de deu ger german deutsch allemand alemán alemão немецкий",
@@ -292,8 +293,9 @@ def _label_rows(net: ByteGru):
                 out = []
                 for key, d, c in zip(f["id"], docs, codes):
                     if d:
-                        # longer sentences tell more, but positions of one sentence are not independent
-                        size = np.array([max(8, len(_bytes_of(s))) for s in d])
+                        # positions of one sentence are not independent, so its evidence is their mean; a sentence shorter
+                        # than WHOLE_EVIDENCE bytes, in which a name or number weighs much, has its share of it
+                        size = np.array([max(WHOLE_EVIDENCE, len(_bytes_of(s))) for s in d])
                         e = score[c] * (12.0 / size)[:, None]
                         telling = np.array([telling_words(s) >= 2 for s in d])
                         spans = stretches(e, telling)
