@@ -23,7 +23,13 @@ def p1_near_five_words(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_copy_classes(spark: SparkSession, base: str) -> DataFrame:
-    return near_duplicates.duplicate_classes(load(spark, base, "documents", "doc_id", "text"), "doc_id", "text").filter("members > 1")
+    """Notes with the same set of five-word sequences as another: their class and its size."""
+    return near_duplicates.duplicate_classes(load(spark, base, "nodes", "id", "content"), "id", "content").filter("members > 1")
+
+
+def p1_note_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Every note under the rule of ``p1_found``: its class of equal sets, the members of it, and its number of links."""
+    return near_duplicates.linked_classes(load(spark, base, "nodes", "id", "content"), "id", "content", threshold=0.6, width=3)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -108,7 +114,7 @@ def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_near_five_words, p1_copy_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p4_segments, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
+        p1_found, p1_near_five_words, p1_copy_classes, p1_note_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p4_segments, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
     )
 }
 
@@ -130,6 +136,11 @@ _TERM_STATS = """
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_SHINGLES.format(last=2)} SELECT a AS node_a, b AS node_b FROM sim WHERE j >= 0.6",
     "p1_near_five_words": f"WITH {_SHINGLES.format(last=4)} SELECT a AS node_a, b AS node_b, round(j, 6) AS similarity FROM sim WHERE j >= 0.8",
+    "p1_copy_classes": f"""WITH {_SHINGLES.format(last=4)}, keyed AS (SELECT id, list_sort(list(s)) AS k FROM sets GROUP BY id), first AS (SELECT k, min(id) AS class_id, count(*) AS members FROM keyed GROUP BY k)
+        SELECT id, class_id, members FROM keyed JOIN first USING (k) WHERE members > 1""",
+    "p1_note_classes": f"""WITH {_SHINGLES.format(last=2)}, keyed AS (SELECT id, list_sort(list(s)) AS k FROM sets GROUP BY id), first AS (SELECT k, min(id) AS class_id, count(*) AS members FROM keyed GROUP BY k),
+        ends AS (SELECT a AS id FROM sim WHERE j >= 0.6 UNION ALL SELECT b FROM sim WHERE j >= 0.6), degree AS (SELECT id, count(*) AS links FROM ends GROUP BY id)
+        SELECT id, class_id, members, coalesce(links, 0)::BIGINT AS links FROM keyed JOIN first USING (k) LEFT JOIN degree USING (id)""",
     "p3_found": f"""WITH {_TERM_STATS.format(t="nodes", c="content")}, {_TERM_STATS.format(t="cluster_summaries", c="top_terms")}
         SELECT 'nodes' AS ref_table, id AS record_id, term FROM w_nodes WHERE length >= 20 AND tf / length * rarity >= 0.06
         UNION ALL SELECT 'cluster_summaries', id, term FROM w_cluster_summaries WHERE rarity >= 0.75""",
