@@ -2,14 +2,18 @@
 found and replaced by typed placeholders.
 
 Wide patterns propose spans; four labelers vote on each (yes, no or nothing): the strict form of the type, a gazetteer,
-the words around, and a sceptic that knows what else looks alike. No vote is trusted by itself. Votes of the whole corpus
-are counted per type and pattern of votes (a table of at most 5 x 81 rows), expectation-maximisation over these counts
-estimates how reliable each labeler is and how likely a span with given votes is real, and a logistic classifier over votes
-and features of the span is trained on a bounded sample of spans with those probabilities as targets. The classifier
-decides; of overlapping accepted spans the more certain, then the longer one stays.
-
-Two passes over the texts, both narrow; what is shuffled is vote counts, what is sent is the fitted numbers. The sample
-for the classifier is at most ``SAMPLE`` spans by hash of document and place; counts and decisions cover every span.
+the words around, and a sceptic that knows what else looks alike. What the last two know is learned from the corpus: a word
+that is mostly written small is no part of a name, and the words beside spans on which form and gazetteer agree speak for
+the type as far as they stand less often beside spans that form or sceptic deny. No vote is trusted by itself. Votes of the
+whole corpus are counted per type and pattern of votes (a table of at most 5 x 81 rows), expectation-maximisation over these
+counts estimates how reliable each labeler is and how likely a span with given votes is real, and a logistic classifier
+over votes and features of the span is trained on a bounded sample of spans with those probabilities as targets. The
+classifier decides; of overlapping accepted spans the more certain, then the longer one stays.
+
+The texts are read once: proposed spans, without the texts, and counts of words written small and large go to the shared
+folder, and everything else reads these. Tables that are sent to all tasks have bounds: words with at least 1 / 100,000 of
+all words, neighbours with at least 1 / 10,000 of all neighbours. Counts cover every span and word and do not depend on how
+rows are dealt to tasks; the classifier's sample is at most ``SAMPLE`` distinct kinds of span, by hash of votes and features.
 
 Defined cases: null texts stay null and have no spans; empty and blank texts stay as they are; very long texts are taken
 whole; several places of one text in one document are one row of ``found`` and are all replaced; repeated rows give
@@ -18,12 +22,13 @@ repeated results; an empty table gives no row.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,32 +54,6 @@ ursula victor victoria vladimir walter wilhelmina william yevgenia zoltan
 ирина константин ксения людмила максим маргарита мария михаил надежда наталья никита николай оксана олег ольга павел петр полина роман
 светлана сергей софия степан тамара татьяна федор юлия юрий яков
 """.split()
-#: Words before or behind a span that speak for its type, lower-case, by language (fixed values).
-BEFORE = {
-    "email": r"mail|e-mail|correo|contact|kontakt|reach|write|forward|notes to|\bat|\ban|\ben|\bem|\bvia|\bunter|\bна|почт|адрес|adresse de contact|;",
-    "phone": r"call|phone|tel|mobil|fax|ring|звоните|номеру|телефон|llama|teléfono|appelez|téléphon|joindre|rückruf|anruf|unter|ligue|telefone|\bor|\bou|\bo|\boder|или|;",
-    "id_number": r"\bid\b|ssn|passport|паспорт|ausweis|steuer|identidad|identité|identidade|passeport|passaporte|pasaporte|tax|national|lists|akte|dossier|nif|\bдокумент",
-    "address": r"moved to|go to|lives? at|address|number and|anschrift|wohnung|adresse|livraison au|entrega e[nm]|адрес|доставки|\n",
-    "name": r"met|reach|contact|as|owner\W+|belongs to|владелец|напишите|au nom d[e']|écrire à|escribe a|escreva para|bitte|ausgestellt für|\bes de|é de|for|dear|--\s*",
-}
-BEHIND = {
-    "email": r"\W*(?:or|oder|ou|o|anschreiben|tel|\n|$)",
-    "phone": r"\W*(?:after|вечером|por la|à|erbeten|\n|$)",
-    "id_number": r"\W*(?:belongs|as the tax|владелец|ausgestellt|es de|est au nom|é de|do not store)",
-    "address": r"\W*(?:last week|as\b|as the address|mañana|demain|amanhã|\n|$)",
-    "name": r"\W*(?:at\b|at the|asked|moved|wohnt|unter|via|en\b|em\b|на\b|mail|said|wrote|\n|$)",
-}
-#: Words written with a capital that are no part of a person's name (fixed values).
-NO_NAMES = set(
-    """the a an we i in on at as by for from to of and or if only which with again later once quietly this that it der die das den ein eine wir am im zu auf
-    aus bei bitte wieder heute vorläufig le la les un une nous pour depuis encore el los las una como para desde por otra vimos o os as um uma desde
-    mais no na não street avenue lane drive crescent road rd unit apt flat upper lower old project silver blue amber harbour ledger
-    national passport ticket build monday tuesday wednesday thursday friday saturday sunday january february march april june july august
-    september october november december contact reach call please mention parcels ssn id pi see use user assistant steuernummer ausweisnummer
-    anschrift wohnung calle plaza avda rua travessa lange entrega livraison escribe escreva merci llama ligue rückruf номер адрес звоните
-    напишите копию улица мы для по в на и к не""".split()
-)
-
 _UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΫЀ-Я"
 _CAP = rf"(?:[{_UPPER}][^\W\d_]+(?:['’-][^\W\d_]+)*)"
 _PARTICLE = r"(?:(?:van|von|der|den|de|del|la|da|di|du|dos|le|ten|zu|el|bin|al)[  ])*"
@@ -129,11 +108,26 @@ _PARTICLES = set("van von der den de del la da di du dos le ten".split())
 
 @dataclass
 class Span:
+    """A proposed span: its form, gazetteer and sceptic votes, features, a name's words, and the words and signs around."""
+
     kind: int
     begin: int
     end: int
-    votes: tuple[int, ...]
+    form: int
+    gazetteer: int
+    sceptic: int
     extra: tuple[float, ...]
+    words: tuple[str, ...]
+    near: tuple[str, ...]
+
+
+@dataclass
+class Model:
+    """What is learned: words that are no names, how much a neighbour speaks for a type, and the classifier's weights."""
+
+    common: frozenset[str]
+    context: dict[tuple[int, str], float]
+    weights: np.ndarray | None = None
 
 
 def _name_spans(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
@@ -142,10 +136,8 @@ def _name_spans(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
     n = len(found)
     for i in range(n):
         b, e, w = found[i]
-        low = w.rstrip(".").casefold()
         initial = len(w) == 2 and w[1] == "."
-        known = low in _GIVEN
-        if w in _PARTICLES or low in NO_NAMES and not known and not initial:
+        if w in _PARTICLES:
             continue
         # "Family, Given [I.]"
         if not initial and i + 1 < n and text[e : found[i + 1][0]] == ", ":
@@ -166,8 +158,6 @@ def _name_spans(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
             if t in _PARTICLES or len(t) == 2 and t[1] == ".":
                 continue
             last_full += 1
-            if t.casefold() in NO_NAMES and t.casefold() not in _GIVEN:
-                break
             yield b, found[k][1], list(tokens), False
             if last_full >= 3:
                 break
@@ -177,21 +167,18 @@ def _vote(flag: bool | None) -> int:
     return 0 if flag is None else YES if flag else NO
 
 
-#: How far before a span its cue may stand: right before names and addresses of mail, a few words before numbers.
-_GAP = {"phone": r"[^.!?\n\d]{0,10}", "id_number": r"[^!?\n\d]{0,14}", "address": r"[^.!?\n\d]{0,6}"}
-_BEFORE = {k: re.compile(rf"(?:{v})(?:{_GAP.get(k, '')}|\W{{0,3}}(?:is |are )?\W{{0,2}})$", re.I) for k, v in BEFORE.items()}
-_BEHIND = {k: re.compile(v, re.I) for k, v in BEHIND.items()}
+_AROUND = re.compile(r"\w+|[^\w\s]|\n")
 
 
 def spans(text: str) -> list[Span]:
-    """All proposed spans of a text with their votes and features."""
+    """All proposed spans of a text."""
     out: list[Span] = []
 
-    def add(kind: str, b: int, e: int, form: bool | None, gazetteer: bool | None, sceptic: bool | None, *extra: float) -> None:
-        ahead = bool(_BEFORE[kind].search(text[max(0, b - 40) : b]))
-        behind = bool(_BEHIND[kind].match(text[e : e + 24]))
-        around = True if ahead else None if behind else False if kind in ("phone", "id_number") else None
-        out.append(Span(TYPES.index(kind), b, e, (_vote(form), _vote(gazetteer), _vote(around), _vote(sceptic)), (float(ahead), float(behind), *extra)))
+    def add(kind: str, b: int, e: int, form: bool | None, gazetteer: bool | None, sceptic: bool | None, *extra: float, words: tuple[str, ...] = ()) -> None:
+        ahead = [x.lower() for x in _AROUND.findall(text[max(0, b - 40) : b])][-3:]
+        behind = [x.lower() for x in _AROUND.findall(text[e : e + 24])][:2]
+        near = (*(f"<{x}" for x in (ahead or ["^"])), *(f">{x}" for x in (behind or ["$"])))
+        out.append(Span(TYPES.index(kind), b, e, _vote(form), _vote(gazetteer), _vote(sceptic), extra, words, near))
 
     if _SPELLED.search(text):
         mails = PROPOSE["email"].finditer(text)
@@ -222,19 +209,45 @@ def spans(text: str) -> list[Span]:
         add("address", m.start(), m.end(), bool(re.search(r"\d", s)), True, False if re.search(r"\d{4,}", s) and not re.search(r",", s) else None, len(s) / 40, float("," in s))
     for b, e, tokens, comma in _name_spans(text):
         full = [t for t in tokens if len(t) > 2 and t not in _PARTICLES]
-        first, last = tokens[0].rstrip(".").casefold(), (tokens[-1] if not comma else tokens[1]).casefold()
+        first = tokens[0].rstrip(".").casefold()
         known = first in _GIVEN
         initial = len(tokens[0]) == 2 and tokens[0][1] == "."
-        others = [t.casefold() for t in full if t.casefold() != first]
-        bad = last in NO_NAMES or any(t in NO_NAMES for t in others) or any(t in _GIVEN for t in others) and not known or len(full) > (2 if known else 1 if initial else 2)
-        upper = sum(t.isupper() for t in full)
         if not (known or initial or len(full) == 2):
             continue
+        others = [t.casefold() for t in full if t.casefold() != first]
+        odd = any(t in _GIVEN for t in others) and not known or len(full) > (2 if known else 1 if initial else 2)
+        upper = sum(t.isupper() for t in full)
         mixed = 0 < upper < len(full)
-        add("name", b, e, (known or initial) and not mixed and len(full) == (1 if initial else 2), True if known else None if initial else False, False if bad or mixed else None, float(initial), float(comma), len(full) / 4)
+        words = tuple(t.casefold() for t in full if not known or t.casefold() != first)
+        add("name", b, e, (known or initial) and not mixed and len(full) == (1 if initial else 2), True if known else None if initial else False, False if odd or mixed else None, float(initial), float(comma), len(full) / 4, words=words)
     return out
 
 
+def sceptic(s: Span, common: frozenset[str]) -> int:
+    """The sceptic's vote, with what it knows of words that are no names."""
+    return NO if s.words and any(w in common for w in s.words) else s.sceptic
+
+
+def agreed(s: Span, doubt: int) -> bool | None:
+    """Whether form and gazetteer agree on a span that the sceptic leaves alone (true), or form or sceptic deny it (false)."""
+    if doubt == NO or s.form == NO:
+        return False
+    return True if s.form == YES and s.gazetteer == YES else None
+
+
+def around(s: Span, context: dict[tuple[int, str], float]) -> tuple[int, float]:
+    """The vote of the words around a span and their evidence."""
+    e = sum(context.get((s.kind, w), 0.0) for w in s.near)
+    return (YES if e >= 1.0 else NO if e <= -1.0 else 0), float(np.clip(e, -6, 6))
+
+
+def judged(s: Span, m: Model) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """(votes, features) of a span."""
+    doubt = sceptic(s, m.common)
+    vote, evidence = around(s, m.context)
+    return (s.form, s.gazetteer, vote, doubt), (round(evidence / 6, 1), *s.extra)
+
+
 def pattern_of(votes: tuple[int, ...]) -> int:
     return sum(v * 3**k for k, v in enumerate(votes))
 
@@ -290,78 +303,185 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds
     return w
 
 
-def accepted(text: str, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(begin, end, type, probability) of the spans the classifier takes, without overlaps, in order."""
-    found = []
-    for s in spans(text):
-        p = 1 / (1 + np.exp(-np.clip(features(s.kind, s.votes, s.extra) @ weights, -30, 30)))
-        if p >= 0.5:
-            found.append((s.begin, s.end, s.kind, float(p)))
-    found.sort(key=lambda f: (f[2] == TYPES.index("name"), -(f[1] - f[0]) if f[3] > 0.9 else 0, -f[3], f[0]))
+def accepted(found: list[Span], m: Model) -> list[tuple[int, int, int, float]]:
+    """(begin, end, type, probability) of the spans of one text that the classifier takes, without overlaps, in order."""
+    if not found:
+        return []
+    both = [judged(s, m) for s in found]
+    x = np.stack([features(s.kind, v, e) for s, (v, e) in zip(found, both)])
+    p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
+    taken_from = [(s.begin, s.end, s.kind, float(q)) for s, q in zip(found, p) if q >= 0.5]
+    taken_from.sort(key=lambda f: (f[2] == TYPES.index("name"), -(f[1] - f[0]) if f[3] > 0.9 else 0, -f[3], f[0]))
     taken: list[tuple[int, int, int, float]] = []
-    for f in found:
+    for f in taken_from:
         if all(f[1] <= t[0] or f[0] >= t[1] for t in taken):
             taken.append(f)
     return sorted(taken)
 
 
-def _propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        counts: dict[tuple[int, int, tuple], list] = {}
-        for key, text in zip(f["id"], f["text"]):
-            for s in spans(text) if text else ():
-                c = counts.setdefault((s.kind, pattern_of(s.votes), s.extra), [0, key])
-                c[0] += 1
-        rows = [(k, p, list(x), n, key) for (k, p, x), (n, key) in counts.items()]
-        yield pd.DataFrame(rows, columns=["kind", "pattern", "extra", "n", "id"])
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_PROPOSED = "id long, t long, spans binary, texts array<string>, words array<string>, small array<long>, large array<long>"
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text with spans, and rows of word counts."""
+    names = ["id", "t", "spans", "texts", "words", "small", "large"]
+    none = lambda n, kind: pa.nulls(n, kind)
+    for b in batches:
+        ids, hashes, found, said = [], [], [], []
+        small: Counter[str] = Counter()
+        large: Counter[str] = Counter()
+        for key, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if not text:
+                continue
+            own = spans(text)
+            if own:
+                ids.append(key), hashes.append(t), found.append(pickle.dumps([(s.kind, s.begin, s.end, s.form, s.gazetteer, s.sceptic, s.extra, s.words, s.near) for s in own])), said.append([text[s.begin : s.end] for s in own])
+            every = _WORD.findall(text)
+            small.update(w for w in every if w[0].islower())
+            large.update(w.casefold() for w in every if not w[0].islower())
+        n = len(ids)
+        kind, count = pa.list_(pa.string()), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary()), pa.array(said, kind), none(n, kind), none(n, count), none(n, count)], names=names)
+        words = sorted(small.keys() | large.keys())
+        if words:
+            yield pa.RecordBatch.from_arrays(
+                [none(1, pa.int64()), none(1, pa.int64()), none(1, pa.binary()), none(1, kind), pa.array([words], kind), pa.array([[small[w] for w in words]], count), pa.array([[large[w] for w in words]], count)], names=names
+            )
+
+
+def _read(raw: bytes) -> list[Span]:
+    return [Span(*x) for x in pickle.loads(raw)]
+
 
+def proposed(df: DataFrame) -> DataFrame:
+    """The proposed spans of all texts of ``df`` (id, text), and the corpus' word counts; written once."""
+    rows = df.select("id", F.xxhash64("text").alias("t"), "text").filter(F.col("text").isNotNull())
+    return cut(rows.mapInArrow(_propose, _PROPOSED), "pii-spans")
 
-def train(df: DataFrame) -> np.ndarray:
-    """Classifier weights from the votes of all texts of ``df`` (id, text)."""
-    votes = cut(df.mapInPandas(_propose, "kind int, pattern int, extra array<double>, n long, id long"), "pii-votes")
-    table = votes.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 5 x 81 rows
+
+def _neighbours(common: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[tuple[int, str], list[int]] = {}
+            for raw in b.column(0).to_pylist():
+                for s in _read(raw):
+                    a = agreed(s, sceptic(s, common))
+                    if a is not None:
+                        for w in {*s.near, ""}:
+                            counts.setdefault((s.kind, w), [0, 0])[0 if a else 1] += 1
+            rows = [(k, w, y, n) for (k, w), (y, n) in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "near", "yes", "no"])
+
+    return run
+
+
+def _patterns(m: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for raw in b.column(0).to_pylist():
+                for s in _read(raw):
+                    v, e = judged(s, m)
+                    counts[s.kind, pattern_of(v), e] += 1
+            rows = [(k, p, list(e), n) for (k, p, e), n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64()))], names=["kind", "pattern", "extra", "n"])
+
+    return run
+
+
+def learn(found: DataFrame) -> Model:
+    """Words, neighbours, reliabilities and classifier from the proposed spans of a corpus."""
+    words = found.filter("words is not null").select(F.explode(F.arrays_zip("words", "small", "large")).alias("w")).groupBy("w.words").agg(F.sum("w.small").alias("small"), F.sum("w.large").alias("large"))
+    words = cut(words, "pii-words")
+    total = words.agg(F.coalesce(F.sum(F.col("small") + F.col("large")), F.lit(0))).first()[0]
+    # at most 100,000 words have that share
+    usual = words.filter((F.col("small") >= F.col("large")) & (F.col("small") + F.col("large") >= max(2.0, total * 1e-5))).select("words").collect()
+    common = frozenset(r[0] for r in usual)
+    held = found.filter("spans is not null").select("spans")
+    near = cut(held.mapInArrow(_neighbours(common), "kind int, near string, yes long, no long").groupBy("kind", "near").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "pii-near")
+    # what stands beside a type's agreed spans is held against what stands beside its denied ones and all other types'
+    whole = near.groupBy("near").agg(F.sum("yes").alias("all_yes"))
+    per = near.join(whole, "near").withColumn("no", F.col("no") + F.col("all_yes") - F.col("yes")).drop("all_yes")
+    kinds = near.select("kind").distinct()
+    others = whole.crossJoin(F.broadcast(kinds)).join(near.select("kind", "near"), ["kind", "near"], "left_anti").select("kind", "near", F.lit(0).cast("long").alias("yes"), F.col("all_yes").alias("no"))
+    per = cut(per.select("kind", "near", "yes", "no").unionByName(others.select("kind", "near", "yes", "no")), "pii-beside")
+    sums = {r.kind: (r.yes, r.no) for r in per.filter("near = ''").collect()}
+    every = near.filter("near <> ''").agg(F.coalesce(F.sum(F.col("yes") + F.col("no")), F.lit(0))).first()[0]
+    context: dict[tuple[int, str], float] = {}
+    for r in per.filter((F.col("near") != "") & (F.col("yes") + F.col("no") >= max(3.0, every * 1e-4))).collect():  # at most 10,000 a type
+        y, n = sums[r.kind]
+        context[r.kind, r.near] = float(np.log((r.yes + 1) / (y + 2)) - np.log((r.no + 1) / (n + 2)))
+    m = Model(common, context)
+    votes = cut(held.mapInArrow(_patterns(m), "kind int, pattern int, extra array<double>, n long").groupBy("kind", "pattern", "extra").agg(F.sum("n").alias("n")), "pii-votes")
+    table = votes.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).orderBy("kind", "pattern").toPandas()  # at most 5 x 81 rows
     real: dict[tuple[int, int], float] = {}
     for kind, part in table.groupby("kind"):
         p, _, _ = reliabilities(part["pattern"].to_numpy(), part["n"].to_numpy(float))
         real.update({(int(kind), int(q)): float(v) for q, v in zip(part["pattern"], p)})
-    few = bounded_sample(votes, ["id", "kind", "pattern", "extra"], SAMPLE).toPandas()
-    if not len(few):
-        return np.zeros(len(TYPES) * 16)
-    x = np.stack([features(int(k), tuple(votes_of(int(p))), tuple(e)) for k, p, e in zip(few["kind"], few["pattern"], few["extra"])])
-    target = np.array([real[int(k), int(p)] for k, p in zip(few["kind"], few["pattern"])])
-    return fit_classifier(x, target, few["n"].to_numpy(float))
+    few = bounded_sample(votes, ["kind", "pattern", "extra"], SAMPLE).toPandas()
+    m.weights = np.zeros(len(TYPES) * 16)
+    if len(few):
+        x = np.stack([features(int(k), tuple(votes_of(int(p))), tuple(e)) for k, p, e in zip(few["kind"], few["pattern"], few["extra"])])
+        target = np.array([real[int(k), int(p)] for k, p in zip(few["kind"], few["pattern"])])
+        m.weights = fit_classifier(x, target, few["n"].to_numpy(float))
+    return m
+
+
+def train(df: DataFrame) -> Model:
+    """The model of all texts of ``df`` (id, text)."""
+    return learn(proposed(df))
 
 
-def _decide(weights: np.ndarray):
+_FOUND = pa.list_(pa.struct([("pii_type", pa.string()), ("pii_text", pa.string()), ("begin", pa.int32()), ("behind", pa.int32()), ("confidence", pa.float64())]))
+_FOUND_SQL = "array<struct<pii_type:string,pii_text:string,begin:int,behind:int,confidence:double>>"
+
+
+def _decide(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, clean, lists = b.column(0), [], []
-            for text in b.column(1).to_pylist():
-                if not text:
-                    clean.append(text), lists.append([])
-                    continue
-                out, at, rows = [], 0, []
-                for begin, end, kind, p in accepted(text, weights):
-                    out += [text[at:begin], f"<{TYPES[kind].upper()}>"]
-                    rows.append({"pii_type": TYPES[kind], "pii_text": text[begin:end], "begin": begin, "behind": end, "confidence": p})
-                    at = end
-                clean.append("".join([*out, text[at:]])), lists.append(rows)
-            kind = pa.list_(pa.struct([("pii_type", pa.string()), ("pii_text", pa.string()), ("begin", pa.int32()), ("behind", pa.int32()), ("confidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(clean, pa.string()), pa.array(lists, kind)], names=["id", "clean", "found"])
+            lists = []
+            for raw, said in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                own = _read(raw)
+                text = {(s.begin, s.end): t for s, t in zip(own, said)}
+                lists.append([{"pii_type": TYPES[k], "pii_text": text[x, y], "begin": x, "behind": y, "confidence": p} for x, y, k, p in accepted(own, m)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, _FOUND)], names=["id", "t", "found"])
 
     return run
 
 
-def redact(df: DataFrame, key: str, text: str, weights: np.ndarray | None = None) -> DataFrame:
-    """``id, clean, found``: every text with placeholders such as <EMAIL>, and what was found where."""
+def decisions(df: DataFrame, model: Model | None = None) -> DataFrame:
+    """``id, t, found``: what was found in every text of ``df`` (id, text) with a proposed span, by a hash of the text."""
+    found = proposed(df)
+    m = model or learn(found)
+    return found.filter("spans is not null").select("id", "t", "spans", "texts").mapInArrow(_decide(m), f"id long, t long, found {_FOUND_SQL}")
+
+
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        clean = []
+        for text, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out, at = [], 0
+            for r in rows or ():
+                out += [text[at : r["begin"]], f"<{r['pii_type'].upper()}>"]
+                at = r["behind"]
+            clean.append(text if text is None else "".join([*out, text[at:]]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), b.column(2)], names=["id", "clean", "found"])
+
+
+def redact(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
+    """``id, clean, found``: every text with placeholders such as <EMAIL>, and what was found where. Finds meet their texts by
+    id and hash."""
     own = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    w = train(own) if weights is None else weights
-    return own.mapInArrow(_decide(w), "id long, clean string, found array<struct<pii_type:string,pii_text:string,begin:int,behind:int,confidence:double>>")
+    found = decisions(own, model).groupBy("id", "t").agg(F.any_value("found").alias("found"))
+    both = own.withColumn("t", F.xxhash64("text")).join(found, ["id", "t"], "left")
+    none = F.array().cast(_FOUND_SQL)
+    return both.select("id", "text", F.coalesce("found", none).alias("found")).mapInArrow(_replace, f"id long, clean string, found {_FOUND_SQL}")
 
 
-def personal_data(df: DataFrame, key: str, text: str, weights: np.ndarray | None = None) -> DataFrame:
-    """``id, pii_type, pii_text``: distinct finds of every text. Finds of one text stay in one row until they are distinct,
-    so nothing is shuffled."""
-    found = redact(df, key, text, weights)
+def personal_data(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
+    """``id, pii_type, pii_text``: distinct finds of every text. Finds of one row are made distinct before they are
+    exploded; rows of one id meet in a last aggregate."""
+    found = decisions(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), model)
     pairs = F.array_distinct(F.transform("found", lambda x: F.struct(x["pii_type"].alias("pii_type"), x["pii_text"].alias("pii_text"))))
     return found.select("id", F.explode(pairs).alias("p")).select("id", "p.pii_type", "p.pii_text").distinct()

@@ -232,3 +232,7 @@ def test_personal_data(spark):
     assert clean[900] == "Mr <NAME>, tel <PHONE> (<PHONE>), <EMAIL> or <EMAIL>. National ID on file: <ID_NUMBER>. Parcels go to <ADDRESS>, as <NAME> asked."
     assert clean[901] is None and clean[902] == "" and clean[903] == "x" * 200_000
     assert P.personal_data(df.limit(0), "id", "text").count() == 0
+    # what is learned does not depend on how rows are dealt to tasks
+    own = df.select("id", "text")
+    models = [P.train(own.repartition(n)) for n in (1, 4, 16)]
+    assert all(m.common == models[0].common and m.context == models[0].context and np.allclose(m.weights, models[0].weights) for m in models)
