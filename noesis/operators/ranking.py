@@ -15,55 +15,87 @@ QUERY_BLOCK = 4096
 
 def nearest(queries: DataFrame, base: DataFrame, *, k: int = 10, dim: int = 128, least: float = 0.0) -> DataFrame:
     """``query_id, node_id, score``: exact k nearest of a stated query set (query_id, embedding) among all rows of ``base``
-    (id, embedding). Queries go out in blocks of ``QUERY_BLOCK``; each task multiplies a block of rows with the block of
-    queries and keeps its own k best per query, which are merged by a window."""
+    (id, embedding), smaller id on ties.
+
+    Up to ``QUERY_BLOCK`` queries, counted first, go to every task, which scans its rows and keeps its own k best per query;
+    these are merged by a window, and the rows of ``base`` are never shuffled. More queries are dealt to blocks of that
+    size, and each block meets each part of ``base`` in a task of its own."""
     import numpy as np
     import pyarrow as pa
 
-    def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        fit = np.asarray(column.value_lengths().fill_null(-1)) == dim
-        v = np.asarray(column.filter(pa.array(fit)).flatten().fill_null(np.nan), np.float64).reshape(-1, dim)
-        n = np.linalg.norm(v, axis=1)
-        good = np.isfinite(n) & (n > 1e-9)
-        rows = np.flatnonzero(fit)[good]
-        return rows, v[good] / n[good, None]
-
-    def scan(qids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for b in batches:
-                rows, v = unit(b.column(1))
-                if not len(rows):
-                    continue
-                ids = np.asarray(b.column(0))[rows]
-                all_id = np.concatenate([best_id, np.broadcast_to(ids, (len(q), len(ids)))], 1)
-                score = np.concatenate([best, q @ v.T], 1)
-                order = np.lexsort((all_id, -score), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(all_id, order, 1), np.take_along_axis(score, order, 1)
-            i, j = np.nonzero(best >= least) if best.shape[1] else (np.zeros(0, int), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(best_id[i, j]), pa.array(best[i, j])], names=["query_id", "node_id", "score"])
-
-        return run
-
-    spark, out = base.sparkSession, None
+    from noesis.operators.cells import unit_rows
+
     schema = "query_id long, node_id long, score double"
-    block: list = []
-
-    def add(rows: list) -> None:
-        nonlocal out
-        at, q = unit(pa.array([r[1] for r in rows], pa.list_(pa.float64())))
-        part = base.select("id", "embedding").mapInArrow(scan(np.array([rows[i][0] for i in at], np.int64), q), schema)
-        out = part if out is None else out.unionByName(part)
-
-    for r in queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            add(block)
-            block = []
-    if block:
-        add(block)
-    if out is None:
+
+    def best_of(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the k best of each row, smaller id on ties."""
+        m = score.shape[1]
+        bound = np.partition(score, m - k, axis=1)[:, m - k] if m > k else np.full(len(score), -np.inf)
+        i, j = np.nonzero((score >= bound[:, None]) & (score >= least))
+        order = np.lexsort((ids[j], -score[i, j], i))
+        i, j = i[order], j[order]
+        start = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - start < k
+        return i[keep], j[keep]
+
+    def rows_of(qids: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        held_q, held_id, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for ids, v in blocks:
+            score = q @ v.T
+            i, j = best_of(score, ids)
+            held_q, held_id, held = np.concatenate([held_q, i]), np.concatenate([held_id, ids[j]]), np.concatenate([held, score[i, j]])
+            if len(held) > 4 * k * len(q):
+                held_q, held_id, held = shortened(held_q, held_id, held)
+        held_q, held_id, held = shortened(held_q, held_id, held)
+        return pa.table({"query_id": pa.array(qids[held_q]), "node_id": pa.array(held_id), "score": pa.array(held)})
+
+    def shortened(i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -score, i))
+        i, ids, score = i[order], ids[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[keep], ids[keep], score[keep]
+
+    def vectors_of(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                usable, v = unit_rows(b.column(1), dim)
+                if len(v):
+                    yield np.asarray(b.column(0))[usable], v
+
+    spark = base.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter("embedding is not null")
+    some = asked.limit(QUERY_BLOCK + 1).collect()
+    if not some:
         return spark.createDataFrame([], schema)
+    rows = base.select(F.col("id").cast("long").alias("id"), "embedding")
+    if len(some) <= QUERY_BLOCK:
+        usable, q = unit_rows(pa.array([r[1] for r in some], pa.list_(pa.float64())), dim)
+        qids = np.array([r[0] for r in some], np.int64)[usable]
+        if not len(qids):
+            return spark.createDataFrame([], schema)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from rows_of(qids, q, vectors_of(batches)).to_batches()
+
+        out = rows.mapInArrow(scan, schema)
+    else:
+        from noesis.session import cut, slots
+
+        asked = cut(asked, "queries")
+        blocks, parts = -(-asked.count() // QUERY_BLOCK), max(slots(spark), -(-rows.count() // 50_000))
+        of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select("query_id", "embedding", of("query_id", blocks).alias("block")).withColumn("part", every(parts))
+        right = rows.select("id", "embedding", of("id", parts).alias("part")).withColumn("block", every(blocks))
+
+        def both(x: pa.Table, y: pa.Table) -> pa.Table:
+            batches = [b for b in x.combine_chunks().to_batches() if b.num_rows]
+            usable, q = unit_rows(batches[0].column(1), dim) if batches else (np.zeros(0, bool), np.zeros((0, dim)))
+            qids = np.asarray(batches[0].column(0))[usable] if batches else np.zeros(0, np.int64)
+            return rows_of(qids, q, vectors_of(y.to_batches()) if len(q) else iter(()))
+
+        out = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(both, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
@@ -124,7 +156,8 @@ def hub_penalty(scores: DataFrame, links: DataFrame, most: int = 20) -> DataFram
 
 
 def contradiction_penalty(scores: DataFrame, edges: DataFrame, *, least: float = 0.3, keep: float = 0.3) -> DataFrame:
-    """A note with a CONTRADICTS neighbour of score above ``least`` keeps ``keep`` of its own, judged on the scores as given."""
+    """A note with a CONTRADICTS neighbour of score above ``least`` keeps ``keep`` of its own, judged on the scores as given.
+    Scores are used twice, so a frame that is dear to compute should be cut before."""
     pairs = adjacency(edges.filter("edge_type = 'CONTRADICTS'")).select("src", "dst").distinct()
     rival = scores.filter(F.col("score") > least).select("query_id", F.col("node_id").alias("dst")).join(pairs, "dst").select("query_id", F.col("src").alias("node_id")).distinct().withColumn("hit", F.lit(True))
     return scores.join(rival, ["query_id", "node_id"], "left").withColumn("score", F.when(F.col("hit"), F.col("score") * keep).otherwise(F.col("score"))).drop("hit")
@@ -141,3 +174,64 @@ def part_inhibition(scores: DataFrame, parents: DataFrame, strength: float = 0.6
 def top(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "node_id")
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def temporal_place(notes: DataFrame, direction: str = "direction") -> DataFrame:
+    """``query_id, node_id, score`` of candidates (query_id, node_id, at, direction): where a note's time lies between the
+    earliest and the latest of its query, from the end for "before", 0.5 for other directions or equal times; 0 without a
+    time."""
+    w, t = Window.partitionBy("query_id"), F.unix_micros("at")
+    first, last = F.min(t).over(w), F.max(t).over(w)
+    place = (t - first) / (last - first).cast("double")
+    aimed = F.when(F.col(direction) == "before", 1.0 - place).when(F.col(direction) == "after", place).otherwise(0.5)
+    return notes.select("query_id", "node_id", F.when(t.isNull(), 0.0).when(last == first, 0.5).otherwise(aimed).alias("score"))
+
+
+def boosted(scores: DataFrame, wanted: DataFrame, *, by: float, least: float) -> DataFrame:
+    """Scores of ``wanted`` notes (query_id, node_id, score: their similarity) raised by ``by``: those scored already up to 1,
+    the others come in from a similarity of ``least`` on, uncapped."""
+    w = wanted.groupBy("query_id", "node_id").agg(F.max("score").alias("_s"))
+    both = scores.join(w, ["query_id", "node_id"], "full_outer")
+    new = F.when(F.col("_s").isNull(), F.col("score")).when(F.col("score").isNotNull(), F.least(F.lit(1.0), F.col("score") + by)).when(F.col("_s") >= least, F.col("_s") + by)
+    return both.select("query_id", "node_id", new.alias("score")).filter("score is not null")
+
+
+def group_best(scores: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every member of a group (node_id, grp) of scored notes gets the best score of the group in its query."""
+    s = scores.join(groups.select("node_id", "grp"), "node_id", "left")
+    best = F.max("score").over(Window.partitionBy("query_id", "grp"))
+    return s.select("query_id", "node_id", F.when(F.col("grp").isNotNull(), best).otherwise(F.col("score")).alias("score"))
+
+
+def between_ends(scores: DataFrame, column: str = "score") -> DataFrame:
+    """Scores moved to [0, 1] by the least and largest of their query; 0.5 where these are equal."""
+    w = Window.partitionBy("query_id")
+    low, high = F.min(column).over(w), F.max(column).over(w)
+    return scores.withColumn(column, F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(0.5))
+
+
+def reranked(scores: DataFrame, judged: DataFrame, *, weight: float = 0.3, first: int = 20) -> DataFrame:
+    """The ``first`` notes of each query with their score and that of a pair judge (query_id, node_id, score), moved to
+    [0, 1], in the proportion 1 - weight to weight; the others stay as they are behind them."""
+    t = top(scores.select("query_id", "node_id", "score"), first).drop("place")
+    j = between_ends(judged.join(t.select("query_id", "node_id"), ["query_id", "node_id"], "left_semi")).select("query_id", "node_id", F.col("score").alias("_j"))
+    new = t.join(j, ["query_id", "node_id"], "left").withColumn("score", F.when(F.col("_j").isNotNull(), F.col("score") * (1 - weight) + F.col("_j") * weight).otherwise(F.col("score"))).drop("_j")
+    return new.unionByName(scores.select("query_id", "node_id", "score").join(t.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"))
+
+
+def rank_factor(rank: Column, weight: float = 0.1) -> Column:
+    """Factor of a note by its PageRank (0 to 1); not part of the search."""
+    return 1.0 + weight * F.coalesce(rank, F.lit(0.0))
+
+
+def whole_for_part(scores: DataFrame, parents: DataFrame, category: DataFrame) -> DataFrame:
+    """Fragments replaced by their parent: ``query_id, node_id, score`` where a fragment's score stands for its parent
+    (id, parent), if that is no fragment or topic itself; a note that comes several ways is kept once, by its best."""
+    kinds = category.select("id", "category")
+    s = scores.join(kinds.withColumnRenamed("id", "node_id"), "node_id").filter(F.col("category").isNull() | (F.col("category") != "abstract-topic"))
+    part = F.coalesce(F.col("category").isin(V.FRAGMENTS), F.lit(False))
+    lifted = s.filter(part).join(parents.select(F.col("id").alias("node_id"), "parent"), "node_id").select("query_id", F.col("parent").alias("node_id"), "score")
+    lifted = lifted.join(kinds.select(F.col("id").alias("node_id"), F.col("category").alias("_c")), "node_id")
+    lifted = lifted.filter(F.col("_c").isNull() | ~F.col("_c").isin("abstract-topic", "atomic-fact", "enriched-fragment")).select("query_id", "node_id", "score")
+    every = s.filter(~part).select("query_id", "node_id", "score").unionByName(lifted)
+    return every.groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
