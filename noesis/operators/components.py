@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from noesis.session import cut
 
 
-def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component``: the smallest id reachable from each id that occurs in ``pairs``.
 
-    Alternates large-star and small-star steps (each node links its neighbours to the least of them), which needs
+    Runs until no edge changes any more. Alternates large-star and small-star steps (each node links its neighbours to the least of them), which needs
     O(log n) rounds even on chains and moves at most the edges once a round. A hub with a third of all pairs is only
     aggregated by min, map-side first, and joined once; no neighbour list is built. Null ends and self-pairs are ignored.
     """
     edges = pairs.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null")
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -107,6 +107,42 @@ def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
     return label.select(F.col("id").alias("node_id"), F.col("label").alias("community"))
 
 
+def largest_communities(edges: DataFrame, *, least: int = 5) -> DataFrame:
+    """``node_id, community`` where only the largest connected part is divided, if it has ``least`` notes, and all other notes
+    have -1; communities are numbered from 0 by size, then smallest member."""
+    from noesis.operators.components import connected_components
+
+    e = cut(edges.select("source_id", "target_id", "weight", "edge_type"), "linked")
+    part = cut(connected_components(e, "source_id", "target_id"), "parts")
+    top = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).filter(F.col("n") >= least).select("component")
+    inside = cut(part.join(F.broadcast(top), "component", "left_semi").select("id"), "largest")
+    own = e.join(inside.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    found = cut(communities(own), "communities")
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    from noesis.operators.joins import positions
+
+    order = positions(sizes.withColumn("m", -F.col("n")), ["m", "community"]).select("community", (F.col("pos") - 1).alias("no"))
+    every = part.select(F.col("id").alias("node_id"))
+    return every.join(found.join(order, "community").select("node_id", "no"), "node_id", "left").select("node_id", F.coalesce("no", F.lit(-1)).alias("community"))
+
+
+def cluster_rank(clusters: DataFrame, pairs: DataFrame, *, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """``leader, id, rank``: PageRank inside clusters (id, leader) along pairs (leader, a, b, similarity), weights divided by
+    their sum per note; a note without a pair passes nothing on. A cluster is never gathered: rounds are joins."""
+    both = pairs.select("leader", F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(pairs.select("leader", F.col("b").alias("src"), F.col("a").alias("dst"), "similarity"))
+    total = both.groupBy("leader", "src").agg(F.sum("similarity").alias("t"))
+    share = cut(both.join(total, ["leader", "src"]).select("leader", "src", "dst", (F.col("similarity") / F.col("t")).alias("p")), "cluster-shares")
+    size = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    nodes = cut(clusters.select("leader", "id").join(size, "leader"), "cluster-notes")
+    rank = nodes.withColumn("r", 1.0 / F.col("n"))
+    for k in range(rounds):
+        got = rank.select("leader", F.col("id").alias("src"), "r").join(share, ["leader", "src"]).groupBy("leader", F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
+        rank = nodes.join(got, ["leader", "id"], "left").select("leader", "id", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
+        if k % 5 == 4:
+            rank = cut(rank, "cluster-rank")
+    return rank.select("leader", "id", F.when(F.col("n") == 1, 1.0).otherwise(F.col("r")).alias("rank"))
+
+
 def leader_clusters(notes: DataFrame, similar: DataFrame, *, least: int = 3) -> DataFrame:
     """``id, leader`` of first-come clusters: in id order a note not yet taken leads, and takes every later note similar to
     it that is not yet taken; clusters under ``least`` notes vanish, their members stay taken.
@@ -117,9 +153,7 @@ def leader_clusters(notes: DataFrame, similar: DataFrame, *, least: int = 3) ->
     leads = cut(notes.select("id").join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")), "leads")
     open_ = cut(notes.select("id").join(leads, "id", "left_anti"), "open")
     known = leads
-    for _ in range(1000):
-        if not open_.limit(1).count():
-            break
+    while open_.limit(1).count():  # a round decides at least the smallest open id
         state = pairs.join(open_.select(F.col("id").alias("b")), "b", "left_semi").join(known.withColumnRenamed("id", "a"), "a", "left").groupBy("b").agg(F.max(F.coalesce(F.col("leads"), F.lit(False))).alias("beaten"), F.min(F.col("leads").isNotNull()).alias("all"))
         new = cut(state.filter("beaten or all").select(F.col("b").alias("id"), (~F.col("beaten")).alias("leads")), "decided")
         known = cut(known.unionByName(new), "known")

@@ -102,17 +102,20 @@ def nearest_in_time(notes: DataFrame, at: str = "timestamp", k: int = 6) -> Data
     return best.select(F.col("id").alias("a"), "b", (F.col("gap") / 1e6).alias("gap_s"), F.when(earlier, "TEMPORAL_AFTER").otherwise("TEMPORAL_BEFORE").alias("relation"))
 
 
-def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, order: list[str], name: str = "pos", *, weight: str | None = None) -> DataFrame:
     """Number rows from 1 in a total order without one big window: range-partition by the order, number inside each
-    partition, and add the sizes of the partitions before (one small row per partition)."""
+    partition, and add the sizes of the partitions before (one small row per partition). With ``weight`` a row counts as
+    many as that column says, and has the number of the last of them."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in order]
     from noesis.session import cut
 
     parted = cut(df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id()), "ranges")
-    inside = parted.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
-    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_part").orderBy(*cols)
+    own = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
+    inside = parted.withColumn("_row", own)
+    sizes = parted.groupBy("_part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 

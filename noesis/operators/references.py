@@ -107,15 +107,24 @@ def orphans(refs: DataFrame, targets: DataFrame, removed_ids: DataFrame) -> Data
 
 
 def orphan_counts(refs: DataFrame, targets: DataFrame, removed_ids: DataFrame) -> DataFrame:
-    """``ref_table, ref_field, period, reason, orphans``: references are added up per key, period and creation time before
-    anything is shuffled by key; counts of heavy and of other keys are united and added."""
+    """``ref_table, ref_field, period, reason, orphans``: references are added up per field, key, period and month of creation
+    before anything is shuffled by key. Whether a key is there, and whether its month lies before the record's, is judged on
+    these counts; only references made in the very month of their record are compared one by one, heavy keys and others
+    along their two ways."""
     refs = refs.filter(F.col("ref_id").isNotNull())
-    per_key = refs.groupBy("ref_table", "ref_field", "ref_id", "period", "created_at").agg(F.count(F.lit(1)).alias("n"))
-    v = verdicts(per_key, targets, removed_ids).drop("n")
+    made = F.when(F.col("created_at").isNotNull(), month("created_at"))
+    refs = refs.withColumn("made", made)
+    per = refs.groupBy("ref_table", "ref_field", "ref_id", "period", "made").agg(F.count(F.lit(1)).alias("n"))
+    v = verdicts(per, targets, removed_ids).drop("n").withColumn("since", F.when(F.col("at").isNotNull(), month("at")))
+    counted = per.join(v, "ref_id")
     reason = (
         F.when(F.col("present").isNull() & F.col("removed"), "deleted")
         .when(F.col("present").isNull(), "missing")
-        .when(F.col("created_at") < F.col("at"), "late")
+        .when(F.col("made") < F.col("since"), "late")
     )
-    rows = _return_to_rows(per_key, per_key, v, ["ref_id"]).withColumn("reason", reason).filter(F.col("reason").isNotNull())
-    return rows.groupBy("ref_table", "ref_field", "period", "reason").agg(F.sum("n").alias("orphans"))
+    apart = counted.withColumn("reason", reason).filter("reason is not null").select("ref_table", "ref_field", "period", "reason", "n")
+    same = v.filter("present and since is not null").select("ref_id", F.col("since").alias("made"), "at")
+    close = refs.filter("made is not null").select("ref_table", "ref_field", "ref_id", "period", "made", "created_at")
+    late = _return_to_rows(close, per, same, ["ref_id", "made"]).filter(F.col("created_at") < F.col("at"))
+    near = late.groupBy("ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("n")).select("ref_table", "ref_field", "period", F.lit("late").alias("reason"), "n")
+    return apart.unionByName(near).groupBy("ref_table", "ref_field", "period", "reason").agg(F.sum("n").alias("orphans"))

@@ -68,11 +68,11 @@ def g07c(t: Store) -> DataFrame:
 
 @catalog(
     "g08_components",
-    """WITH RECURSIVE a AS (SELECT source_id AS u, target_id AS v FROM edges WHERE edge_type = 'consolidation' AND source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE edge_type = 'consolidation' AND source_id <> target_id),
+    """WITH RECURSIVE a AS (SELECT source_id AS u, target_id AS v FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id),
     r(id, c) AS (SELECT u, u FROM a UNION SELECT a.v, r.c FROM r JOIN a ON a.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY 1""",
 )
 def g08(t: Store) -> DataFrame:
-    return connected_components(t("edges", *EDGE).filter("edge_type = 'consolidation'"), "source_id", "target_id")
+    return connected_components(t("edges", *EDGE), "source_id", "target_id")
 
 
 _LP = """k AS (SELECT src, dst, sum(w) AS w FROM adj WHERE w > 0 AND src <> dst GROUP BY 1, 2), lab0 AS (SELECT DISTINCT src AS id, src AS label FROM k), """ + ", ".join(

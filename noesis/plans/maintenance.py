@@ -1,28 +1,25 @@
 """The batch upkeep of the graph: steps that read tables and return what they would add or change.
 
-A step is a function of a Store and returns a frame of new edges (source_id, target_id, edge_type, weight) or of changed
-rows; ``run`` applies them in their fixed order and only where asked, so a dry run is the same without the last line.
-Edges of a step replace that step's edges of the run before, or are added where they are not there, so running twice is
-running once; only decay takes its factor again in each run."""
+A step is a function of a Store and returns a frame of new edges (source_id, target_id, edge_type, weight) or of the rows it
+would write; ``upkeep.run`` applies them in their fixed order."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime, timedelta
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noesis import vocabulary as V
 from noesis.functions import text, vectors
-from noesis.operators import access, edits, graph, joins, similarity, text_index
+from noesis.operators import graph, joins, lifecycle, similarity, text_index
+from noesis.plans import relational
 from noesis.plans.registry import Catalog, Store
 from noesis.plans.relational import band_similar, temporal_chains
+from noesis.session import cut
 
 catalog = Catalog()
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
 OUT = ["source_id", "target_id", "edge_type", "weight"]
-STALE_DAYS = 90
+SQL_CHAINS = relational.SQL["w01_temporal_chains"].replace("SELECT category, id AS source_id, next AS target_id", "SELECT id AS source_id, next AS target_id, 'temporal_chain' AS edge_type, 0.95::DOUBLE AS weight")
 
 
 def _both_ways(pairs: DataFrame, kind: str, weight) -> DataFrame:
@@ -42,10 +39,10 @@ def thematic(t: Store) -> DataFrame:
     return _both_ways(graph.cluster_links(clusters), "consolidation", F.lit(0.9))
 
 
-@catalog("m01_chains")
+@catalog("m01_chains", SQL_CHAINS)
 def chains(t: Store) -> DataFrame:
     c = temporal_chains(t("nodes", "id", "category", "timestamp"))
-    return c.select("source_id", "target_id", F.lit("temporal_chain").alias("edge_type"), F.lit(0.95).alias("weight"))
+    return c.select("source_id", "target_id", F.lit("temporal_chain").alias("edge_type"), F.lit(0.95).cast("double").alias("weight"))
 
 
 _UNIT = "SELECT id, category, content, importance, timestamp, [x / sqrt(list_sum([y::DOUBLE * y FOR y IN embedding])) FOR x IN embedding]::DOUBLE[128] AS v FROM nodes WHERE len(embedding) = 128 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0"
@@ -56,23 +53,35 @@ def j04(t: Store) -> DataFrame:
     return similarity.similar_pairs(usable_notes(t), "id", "embedding", least=0.85).withColumn("similarity", F.round("similarity", 4))
 
 
-_SIGNAL = "|".join(text.signal_pattern(lang, p) for lang, ps in text.SIGNALS.items() for p in ps).replace("'", "''")
+_COUNT = " + ".join(f"regexp_matches(lower(content), '{text.signal_pattern(lang, p).replace(chr(39), chr(39) * 2)}')::INT" for lang, ps in text.SIGNALS.items() for p in ps)
 
 
 @catalog(
     "m03_contradictions",
     f"""WITH u AS ({_UNIT}), o AS (SELECT *, row_number() OVER (ORDER BY timestamp, id) AS pos FROM u WHERE timestamp IS NOT NULL),
     s AS (SELECT a.id AS older, b.id AS newer, array_inner_product(a.v, b.v) AS c FROM o a JOIN o b ON b.pos BETWEEN a.pos + 1 AND a.pos + 100 WHERE array_inner_product(a.v, b.v) >= 0.8),
-    g AS (SELECT id FROM nodes WHERE regexp_matches(lower(content), '{_SIGNAL}'))
-    SELECT older AS source_id, newer AS target_id, round(c, 4) AS similarity FROM s WHERE older IN (SELECT id FROM g) OR newer IN (SELECT id FROM g)""",
+    g AS (SELECT id, {_COUNT} AS n FROM nodes)
+    SELECT older AS source_id, newer AS target_id, round(c, 4) AS similarity, round(c * least((x.n + y.n) / 3.0, 1.0), 4) AS severity FROM s JOIN g x ON x.id = older JOIN g y ON y.id = newer WHERE x.n + y.n > 0""",
 )
 def contradictions(t: Store) -> DataFrame:
-    """Similar notes near in time of which one says that something changed."""
+    """Similar notes near in time of which one says that something changed; severity grows with the signals of both, up to
+    three."""
+    return found_contradictions(t).select("source_id", "target_id", F.round("similarity", 4).alias("similarity"), F.round("severity", 4).alias("severity"))
+
+
+def found_contradictions(t: Store) -> DataFrame:
+    """``source_id`` (older), ``target_id`` (newer), similarity, severity, signals (up to five)."""
     pairs = band_similar(usable_notes(t, "timestamp").filter("timestamp is not null"), ["timestamp", "id"], 100, 0.8)
-    found = t("nodes", "id", "content").filter(text.any_signal("content")).select("id", F.lit(True).alias("s"))
+    # only notes of a pair are searched for signals
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = cut(t("nodes", "id", "content").join(ends, "id", "left_semi").select("id", text.signals("content").alias("s"), text.signal_count("content").alias("n")).filter("n > 0"), "signals")
     for side in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side, "left")
-    return pairs.filter(F.coalesce("sa", "sb")).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.round("similarity", 4).alias("similarity"))
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"), F.col("n").alias(f"n{side}")), side, "left")
+    none = F.array().cast("array<string>")
+    n = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
+    severity = F.col("similarity") * F.least(n / 3.0, F.lit(1.0))
+    signals = F.slice(F.array_distinct(F.concat(F.coalesce("sa", none), F.coalesce("sb", none))), 1, 5)
+    return pairs.filter(n > 0).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "similarity", severity.alias("severity"), signals.alias("signals"))
 
 
 @catalog("j08_identity_pairs", f"WITH u AS (SELECT * FROM ({_UNIT}) WHERE category IN ({', '.join(repr(c) for c in V.IDENTITY)})) SELECT a.id AS a, b.id AS b, round(array_inner_product(a.v, b.v), 4) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE array_inner_product(a.v, b.v) >= 0.7")
@@ -203,24 +212,55 @@ def kmeans(t: Store) -> DataFrame:
     return model.transform(rows).select("id", F.col("prediction").alias("topic"))
 
 
+FACT_CATEGORIES = ["milestone", "benchmark", "breakthrough", "architecture-decision", "learned-skill", "research", "project-milestone", "project-planning"]
+FACT_SKIP = ["self-reflection", "emotional-reflection", "working-memory", "abstract-topic", "atomic-fact"]
+
+
 @catalog("m20_facts")
 def facts(t: Store) -> DataFrame:
-    """Sentences with a number and a unit, of notes that have no part yet: at most five a note, in order."""
+    """Facts with a number, at most five a note, in order, of notes of the categories for facts that are no part yet."""
+    return number_facts(t, None)
+
+
+def number_facts(t: Store, newest: int | None) -> DataFrame:
+    """``id, category, pos, fact``; with ``newest`` only of the so many newest notes (by id) outside the skipped categories,
+    which is how many one run of the batch looks at."""
+    notes = t("nodes", "id", "content", "category").filter(~F.col("category").isin(FACT_SKIP))
+    if newest:
+        notes = notes.orderBy(F.desc("id")).limit(newest)
     done = t("edges", "source_id", "edge_type").filter("edge_type = 'PART_OF'").select(F.col("source_id").alias("id")).distinct()
-    notes = t("nodes", "id", "content").join(done, "id", "left_anti")
-    found = F.filter(F.split("content", r"(?<=[.!?])\s+|\n+"), lambda s: s.rlike(r"[0-9]+([.,][0-9]+)? ?(%|ms|GB|MB)") & F.length(s).between(20, 300))
-    return notes.select("id", F.posexplode(F.slice(found, 1, 5)).alias("pos", "fact"))
+    notes = notes.filter(F.col("category").isin(FACT_CATEGORIES)).join(done, "id", "left_anti")
+    return notes.select("id", "category", F.posexplode(text.list_column(text.number_facts, F.col("content"))).alias("pos", "fact"))
+
+
+@catalog("m20_fragments")
+def fragments(t: Store) -> DataFrame:
+    """Facts with the feeling and story of their note, at most five a note: parts that can stand alone."""
+    run = lambda x: text.number_facts(x, text.FRAGMENT_PATTERNS, 70, text.FACT_NOISE | {"also"})
+    story = F.trim(F.coalesce("emotional_reflection", F.lit("")))
+    n = t("nodes", "id", "content", "category", "emotional_tone", "emotional_reflection").filter(F.col("category").isNull() | ~F.col("category").isin(V.SYNTHETIC))
+    feeling = F.trim(F.split(F.when(F.col("emotional_tone") != "", F.col("emotional_tone")).otherwise("neutral"), ",")[0])
+    rows = n.select("id", "category", feeling.alias("emotion"), F.when(F.length(story) > 120, F.concat(F.substring(story, 1, 117), F.lit("..."))).otherwise(story).alias("narrative"), F.posexplode(text.list_column(run, F.col("content"))).alias("pos", "fact"))
+    return rows.select("id", "pos", "fact", F.concat(F.coalesce("category", F.lit("general")), F.lit(" memory")).alias("context"), F.coalesce("emotion", F.lit("neutral")).alias("emotion"), "narrative")
 
 
 @catalog("m04_anchors")
 def anchors(t: Store) -> DataFrame:
-    """Keyword anchors: number keys, then long words, seven in all, of notes of 80 characters or more."""
-    notes = t("nodes", "id", "content", "category").filter((F.length("content") >= 80) & ~F.coalesce("category", F.lit("")).isin("lc-chunk", "abstract-topic", "atomic-fact", "keyword-anchor"))
-    keys = F.slice(F.array_distinct(F.concat(text.number_keys("content"), text.long_words("content"))), 1, 7)
-    return notes.select("id", F.array_join(keys, " ").alias("keys"))
+    """Keyword anchors of notes of 80 characters or more: their keys, seven at most."""
+    found, _ = lifecycle.keyword_anchors(t("nodes", "id", "content", "category"))
+    return found.select(F.col("parent").alias("id"), "content", "tags")
 
 
-@catalog("m02_summaries")
+@catalog(
+    "m02_summaries",
+    """WITH w AS (SELECT id, category AS cluster, unnest(list_distinct(regexp_extract_all(lower(content), '[a-zA-Zа-яА-ЯёЁ0-9_]+'))) AS term FROM nodes),
+    a AS (SELECT category AS cluster, unnest(regexp_extract_all(lower(content), '[a-zA-Zа-яА-ЯёЁ0-9_]+')) AS term FROM nodes WHERE category IS NOT NULL), c AS (SELECT cluster, term, count(*) AS c FROM a WHERE length(term) > 1 GROUP BY 1, 2),
+    l AS (SELECT cluster, sum(c) AS length FROM c GROUP BY 1), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM l),
+    s AS (SELECT cluster, term, round((c / length) * (ln((n + 1) / (df + 1)) + 1), 9) AS weight FROM c JOIN l USING (cluster) JOIN f USING (term) CROSS JOIN n),
+    k AS (SELECT cluster, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS r FROM s) WHERE r <= 15),
+    v AS (SELECT cluster, id, count(*) AS covered FROM w JOIN k USING (cluster, term) GROUP BY 1, 2), b AS (SELECT cluster, id AS representative, covered FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY covered DESC, id) AS r FROM v) WHERE r = 1)
+    SELECT cluster, terms, representative, covered FROM b JOIN (SELECT cluster, string_agg(term, ', ' ORDER BY weight DESC, term) AS terms FROM k GROUP BY 1) USING (cluster)""",
+)
 def summaries(t: Store) -> DataFrame:
     """Per category the 15 weightiest terms and the note that covers most of them."""
     terms = text_index.cluster_tfidf(t("nodes", "id", "category", "content"), "id", "category", "content", top=15)
@@ -231,128 +271,3 @@ def summaries(t: Store) -> DataFrame:
     return listed.join(best, "cluster").select("cluster", "terms", (-F.col("b.i")).alias("representative"), F.col("b.n").alias("covered"))
 
 
-def signals(t: Store) -> DataFrame:
-    """One row: the structural signals and their weighted sum."""
-    from noesis.plans import graphs, relational
-
-    row = graphs.a22(t).crossJoin(graphs.g12(t)).crossJoin(relational.a09(t)).crossJoin(relational.a23(t)).crossJoin(graphs.g17(t))
-    w = V.SIGNAL_WEIGHTS
-    total = F.col("phi") * w["phi_proxy"] + F.col("density") * w["self_model_stability"] + F.col("correlation") * w["emotional_modulation"] + F.col("richness") * w["world_model_richness"] + F.col("continuity") * w["temporal_continuity"]
-    return row.select("phi", "density", "correlation", "richness", "continuity", F.round(total, 6).alias("composite"))
-
-
-@catalog("m21_signals")
-def m21(t: Store) -> DataFrame:
-    return signals(t)
-
-
-def _edges(df: DataFrame, kind: str, weight) -> DataFrame:
-    return df.select("source_id", "target_id", F.lit(kind).alias("edge_type"), weight.cast("double").alias("weight"))
-
-
-def contradiction_edges(t: Store) -> DataFrame:
-    """Both directions of the contradictions, and of the identity conflicts not among them with 0.8 of their similarity."""
-    found = contradictions(t)
-    of_time = found.select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), (-F.col("similarity") / 3).alias("weight"))
-    conflicts = identity(t, 0.5).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (F.col("similarity") * -0.8).alias("weight"))
-    rest = conflicts.join(of_time.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
-    return _both_ways(of_time.unionByName(rest), "CONTRADICTS", F.col("weight"))
-
-
-def generalise_edges(t: Store) -> DataFrame:
-    found = generalises(t)
-    back = found.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight")
-    return _edges(found, "GENERALIZES", F.col("weight")).unionByName(_edges(back, "INSTANTIATES", F.col("weight")))
-
-
-def relation_edges(t: Store) -> DataFrame:
-    every = entity_relations(t).unionByName(hub_pairs(t)).distinct()
-    return every.select("source_id", "target_id", "edge_type", F.lit(0.5).alias("weight"))
-
-
-def _prospective(t: Store, now: str) -> DataFrame:
-    return edits.prospective(t.nodes, now[:10])
-
-
-def _boosted(t: Store, now: str) -> DataFrame:
-    return edits.boosted(t.nodes, access.protected_categories(t("nodes", "category", "importance")))
-
-
-def _demoted(t: Store, now: str) -> DataFrame:
-    older = t("edges", "target_id", "edge_type", "created_at").filter((F.col("edge_type") == "SUPERSEDES") & (F.col("created_at") == F.lit(now).cast("timestamp"))).select(F.col("target_id").alias("id")).distinct().withColumn("_old", F.lit(True))
-    n = t.nodes.join(older, "id", "left")
-    return n.withColumn("importance", F.when(F.col("_old") & (F.col("importance") == "normal"), "low").otherwise(F.col("importance"))).drop("_old")
-
-
-def _decayed(t: Store, now: str) -> DataFrame:
-    safe = access.protected_categories(t("nodes", "category", "importance"))
-    ids = t("nodes", "id", "category").withColumn("category", F.lower("category")).join(safe, "category", "left_semi").select("id")
-    cutoff = (datetime.fromisoformat(now) - timedelta(days=STALE_DAYS)).isoformat(sep=" ")
-    return edits.decayed(t.edges, ids, access.stale("created_at", "weight", cutoff))
-
-
-def _duplicates(t: Store, now: str) -> DataFrame:
-    from noesis.plans.relational import j05
-
-    return j05(t)
-
-
-def _orphans(t: Store, now: str) -> DataFrame:
-    return joins.orphan_notes(t("nodes", "id", "category"), t("edges", "source_id", "target_id"))
-
-
-#: In their fixed order: name, what the step does, edge types it replaces, step. "edges" replace the edges of these types,
-#: "insert" adds edges whose triple is not there, "nodes" and "weights" give the whole changed table, "report" only counts.
-STEPS: list[tuple[str, str, list[str], Callable]] = [
-    ("consolidation", "edges", ["consolidation"], lambda t, now: thematic(t)),
-    ("chains", "edges", ["temporal_chain"], lambda t, now: chains(t)),
-    ("contradictions", "edges", ["CONTRADICTS"], lambda t, now: contradiction_edges(t)),
-    ("resonance", "edges", ["EMOTIONAL_RESONANCE"], lambda t, now: resonance(t)),
-    ("generalises", "edges", ["GENERALIZES", "INSTANTIATES"], lambda t, now: generalise_edges(t)),
-    ("relations", "insert", [], lambda t, now: relation_edges(t)),
-    ("orphans", "report", [], _orphans),
-    ("prospective", "nodes", [], _prospective),
-    ("decay", "weights", [], _decayed),
-    ("boost", "nodes", [], _boosted),
-    ("duplicates", "report", [], _duplicates),
-    ("supersedes", "insert", [], lambda t, now: _edges(supersedes(t), "SUPERSEDES", F.col("weight"))),
-    ("demote", "nodes", [], _demoted),
-]
-
-
-def run(t: Store, *, now: str, dry_run: bool = True, steps: list[str] | None = None) -> tuple[dict[str, int], DataFrame, DataFrame]:
-    """Counts per step, and the edge and note tables after all of them (unchanged on a dry run). Each step sees the tables
-    after the steps before; they are cut after each, so plans do not pile up. Counts are new or reported rows, for changed
-    tables the rows that change."""
-    from noesis.session import cut
-
-    class After(Store):
-        def __init__(self, **now: DataFrame) -> None:
-            super().__init__(t.spark, t.base)
-            self._now = now
-
-        def __call__(self, name: str, *columns) -> DataFrame:
-            df = self._now.get(name)
-            return t(name, *columns) if df is None else df.select(*columns) if columns else df
-
-    edges, nodes, counts = t.edges, t.nodes, {}
-    for name, does, kinds, step in STEPS:
-        if steps and name not in steps:
-            continue
-        out = step(After(edges=edges, nodes=nodes), now)
-        if does == "report":
-            counts[name] = out.count()
-        elif does in ("nodes", "weights"):
-            old = nodes if does == "nodes" else edges
-            new = cut(out.select(*old.columns), name)
-            counts[name] = new.exceptAll(old).count()
-            if not dry_run:
-                nodes, edges = (new, edges) if does == "nodes" else (nodes, new)
-        else:
-            new = out.select(*OUT).withColumn("created_at", F.lit(now).cast("timestamp"))
-            new = cut(edits.insert_edges(edges, new) if does == "insert" else new, f"step-{name}")
-            counts[name] = new.count()
-            if not dry_run:
-                both = edits.replace_edges(edges, new.select(*edges.columns), kinds) if kinds else edges.unionByName(new.select(*edges.columns))
-                edges = cut(both, "edges")
-    return counts, edges, nodes

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noesis import vocabulary as V
 from noesis.functions import vectors
-from noesis.operators import access, joins
+from noesis.operators import access, joins, searchlog
 from noesis.plans.registry import Catalog, Store
 
 catalog = Catalog()
@@ -33,8 +33,8 @@ def s02(t: Store) -> DataFrame:
 
 @catalog("s03_point_lookup", "SELECT id, content, category FROM nodes WHERE id = (SELECT min(id) FROM nodes)")
 def s03(t: Store) -> DataFrame:
-    first = t("nodes", "id").agg(F.min("id").alias("id"))
-    return t("nodes", "id", "content", "category").join(F.broadcast(first), "id")
+    first = t("nodes", "id").agg(F.min("id")).first()[0]
+    return access.point(t("nodes", "id", "content", "category"), first)
 
 
 @catalog("s04_category_read", "SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at FROM nodes WHERE category = 'technical' ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 5")
@@ -252,11 +252,7 @@ def a09(t: Store) -> DataFrame:
     SELECT event_type, max(CASE WHEN i = n // 2 THEN value END) AS p50, max(CASE WHEN i = floor(n * 0.95) THEN value END) AS p95, max(CASE WHEN i = floor(n * 0.99) THEN value END) AS p99, max(value) AS most FROM r GROUP BY 1""",
 )
 def a10(t: Store) -> DataFrame:
-    # exact ranks without gathering a group: ranks by window, picked by aggregation
-    by = Window.partitionBy("event_type")
-    r = t("events", "event_type", "value").filter("value is not null").withColumn("i", F.row_number().over(by.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") * k), F.col("value")))
-    return r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("value").alias("most"))
+    return searchlog.ranked_values(t("events", "event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @catalog("a12_zero_results", "SELECT event_type, count(*) AS n, sum((value = 0)::INT)::BIGINT AS zeros, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -438,6 +434,12 @@ def j05(t: Store) -> DataFrame:
     return band_similar(n, ["id"], 49, 0.9).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.round("similarity", 4).alias("similarity"))
 
 
+def duplicates(t: Store, least: float = 0.95) -> DataFrame:
+    """Notes at most 49 places apart by id that are nearly the same."""
+    n = t("nodes", "id", "embedding").filter(vectors.usable("embedding", 128)).select("id", "embedding")
+    return band_similar(n, ["id"], 49, least)
+
+
 @catalog(
     "j07_band_by_time",
     f"""WITH u AS ({_UNIT}), o AS (SELECT *, row_number() OVER (ORDER BY timestamp, id) AS pos FROM u WHERE timestamp IS NOT NULL)

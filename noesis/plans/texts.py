@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noesis import vocabulary as V
-from noesis.functions import text, times
+from noesis.functions import scanner, text, times
 from noesis.operators import access, edits
 from noesis.plans.registry import Catalog, Store
 
@@ -34,7 +34,10 @@ def l06(t: Store) -> DataFrame:
     return t("nodes", "id", "content").select("id", text.script_language("content").alias("script"))
 
 
-@catalog("l07_normal_names", r"""SELECT id, lower(regexp_replace(regexp_replace(trim(name), '\s+', ' ', 'g'), '^[.,;:!?''"()\[\]]+|[.,;:!?''"()\[\]]+$', '', 'g')) AS name FROM entities""")
+_SYNONYMS = " ".join(f"WHEN '{_q(a)}' THEN '{_q(b)}'" for a, b in V.SYNONYMS.items())
+
+
+@catalog("l07_normal_names", rf"""SELECT id, CASE n {_SYNONYMS} ELSE n END AS name FROM (SELECT id, lower(regexp_replace(regexp_replace(trim(name), '\s+', ' ', 'g'), '^[.,;:!?''"()\[\]{{}}]+|[.,;:!?''"()\[\]{{}}]+$', '', 'g')) AS n FROM entities)""")
 def l07(t: Store) -> DataFrame:
     return t("entities", "id", "name").select("id", text.normal_name("name").alias("name"))
 
@@ -65,13 +68,33 @@ def l11(t: Store) -> DataFrame:
     return t("nodes", "id", "content").select("id", F.array_join(F.array_sort(text.signals("content")), "; ").alias("signals"))
 
 
-def _threats(level: str) -> str:
-    return "|".join(f"(?:{p.lower()})" if "INST" in p else f"(?:{p})" for p in text.THREATS[level])
+def _sql_threats(level: str) -> str:
+    flags = "is" if level == "high" else "i"
+    parts = []
+    for p, _ in scanner.THREATS[level]:
+        if "(?!" in p:  # RE2 has no lookahead: what may follow is cut off before, and the rest searched
+            head, tail = p.split("(?!", 1)
+            allowed = tail[:-1]
+            parts.append(f"regexp_matches(regexp_replace(text, '{_q(head)}(?:{_q(allowed)})', '', 'gi'), '{_q(head)}', '{flags}')")
+        else:
+            parts.append(f"regexp_matches(text, '{_q(p)}', '{flags}')")
+    return " OR ".join(parts)
 
 
-@catalog("l12_threats", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_q(_threats(k))}') THEN '{k}'" for k in ("critical", "high", "medium", "low")) + " ELSE 'safe' END AS level FROM documents")
+@catalog("l12_threats", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL " + " ".join(f"WHEN {_sql_threats(k)} THEN '{k}'" for k in scanner.LEVELS) + " ELSE 'safe' END AS level FROM documents")
 def l12(t: Store) -> DataFrame:
-    return t("documents", "doc_id", "text").select("doc_id", text.threat_level("text").alias("level"))
+    return t("documents", "doc_id", "text").select("doc_id", scanner.threat_level("text").alias("level"))
+
+
+@catalog("l12_findings")
+def l12f(t: Store) -> DataFrame:
+    """Every finding of the scanner with its place."""
+    return scanner.findings(t("documents", "doc_id", "text"), "doc_id", "text")
+
+
+@catalog("l12_stripped", f"SELECT doc_id, regexp_replace(text, '{scanner.STRIPPED_TAGS}', '[STRIPPED]', 'gi') AS text FROM documents")
+def l12s(t: Store) -> DataFrame:
+    return t("documents", "doc_id", "text").select("doc_id", scanner.stripped("text").alias("text"))
 
 
 @catalog("l15_remember_blocks", "SELECT doc_id, len(regexp_extract_all(text, '(?s)\\[REMEMBER:[^\\]]*\\](.*?)\\[/REMEMBER\\]'))::INTEGER AS blocks FROM documents")
