@@ -27,11 +27,13 @@ def local_session(cores: int | str = 8, app: str = "noesis", memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a folder of our own is made and set."""
+    """The folder for cut lineage: the cluster's ``spark.checkpoint.dir``. Only on a single machine, where that is unset, a
+    folder of our own is made and set; elsewhere executors would each write to their own disks, so it is an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="noesis-")
         sc.setCheckpointDir(found)
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noesis.sources.tables import EDGES, ENTITIES, NODE_ENTITIES, NODES, load
@@ -26,11 +26,22 @@ def export_json(spark: SparkSession, base: str, target: str) -> dict[str, int]:
     return counts
 
 
-def import_skills(spark: SparkSession, path: str) -> DataFrame:
-    """Skills from a JSON list of {name, purpose, category, intensity, tags}."""
-    schema = "name string, purpose string, category string, intensity int, tags array<string>"
+def import_skills(spark: SparkSession, path: str, notes: DataFrame | None = None) -> DataFrame:
+    """Skills from a JSON list of {name, purpose, when_to_use, category, importance, intensity, tags} as notes, without those
+    whose name stands in a note (``notes``: content); names are few, so they are looked up in all notes."""
+    schema = "name string, purpose string, when_to_use string, category string, importance string, intensity int, tags array<string>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).filter("name is not null")
-    return rows.select(F.concat_ws("\n", "name", "purpose").alias("content"), F.coalesce("category", F.lit("skill")).alias("category"), F.lit("low").alias("importance"), F.coalesce("intensity", F.lit(5)).alias("emotional_intensity"), F.array_join("tags", " ").alias("tags"))
+    if notes is not None:
+        hit = notes.select("content").join(F.broadcast(rows.select(F.col("name").alias("_n"))), F.contains("content", "_n")).select(F.col("_n").alias("name")).distinct()
+        rows = rows.join(hit, "name", "left_anti")
+    line = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"\n\n{label}: "), c)).otherwise("")
+    content = F.concat(F.lit("SKILL LEARNED: "), "name", line("Purpose", F.col("purpose")), line("When to use", F.col("when_to_use")), line("Tags", F.array_join("tags", ", ")))
+    return rows.select(content.alias("content"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("importance", F.lit("normal")).alias("importance"), F.coalesce("intensity", F.lit(5)).alias("emotional_intensity"), F.array_join("tags", " ").alias("tags"))
+
+
+def write_skills(skills: DataFrame, path: str) -> None:
+    """Skill descriptions (name, purpose, category) as JSON lines."""
+    skills.select("name", "purpose", "category").write.mode("overwrite").json(path)
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,17 +51,35 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/SKILL\.md$", 1).alias("category"), F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1).alias("name"), F.array_join(F.slice(lines, 1, 2), " ").alias("purpose"))
 
 
-def conversations(turns: DataFrame, *, size: int = 3) -> DataFrame:
-    """Chunks of ``size`` turns in order: conv_id, chunk, text."""
-    chunk = F.floor((F.row_number().over(_by_turn()) - 1) / size)
-    rows = turns.withColumn("chunk", chunk)
-    return rows.groupBy("conv_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+_TURNS = "array<struct<speaker:string,dia_id:string,text:string>>"
+
+
+def read_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, questions) of a JSON list of {conversation: {speaker_a, speaker_b, session_N, session_N_date_time}, qa: [...]}:
+    turns have conv_id, session, at, turn, speaker, dia_id, text; questions conv_id, question, answer, category, evidence."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<conversation:map<string,string>,qa:array<struct<question:string,answer:string,category:int,evidence:array<string>>>>>")).alias("conv_id", "c"))
+    fields = raw.select("conv_id", F.explode("c.conversation").alias("name", "v"))
+    number = F.regexp_extract("name", r"^session_(\d+)$", 1)
+    talks = fields.filter(number != "").select("conv_id", number.cast("int").alias("session"), F.posexplode(F.from_json("v", _TURNS)).alias("turn", "t"))
+    dated = F.regexp_extract("name", r"^session_(\d+)_date_time$", 1)
+    at = fields.filter(dated != "").select("conv_id", dated.cast("int").alias("session"), F.col("v").alias("at"))
+    turns = talks.join(at, ["conv_id", "session"], "left").select("conv_id", "session", "at", "turn", F.coalesce("t.speaker", F.lit("?")).alias("speaker"), "t.dia_id", F.coalesce("t.text", F.lit("")).alias("text"))
+    return turns, raw.select("conv_id", F.explode("c.qa").alias("q")).select("conv_id", "q.*")
+
 
+def conversations(turns: DataFrame, granularity: str = "hybrid", *, size: int = 3) -> DataFrame:
+    """Notes of dialogues: ``conv_id, session, part, text, dia_ids``, one per session, per turn, or (hybrid) per ``size`` turns of
+    a session. A note is the lines of its turns in order, with the speaker in front."""
+    order = Window.partitionBy("conv_id", "session").orderBy("turn")
+    said = turns.filter("text <> ''").withColumn("line", F.concat("speaker", F.lit(": "), "text")).withColumn("_n", F.row_number().over(order) - 1)
+    part = {"session": F.lit(0), "turn": F.col("_n"), "hybrid": F.floor(F.col("_n") / size).cast("int")}[granularity]
+    rows = said.withColumn("part", part.cast("int")).groupBy("conv_id", "session", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "line", "dia_id"))).alias("t"))
+    return rows.select("conv_id", "session", "part", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text"), F.transform("t", lambda x: x["dia_id"]).alias("dia_ids"))
 
-def _by_turn():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("conv_id").orderBy("turn")
+def write_results(results: DataFrame, path: str) -> None:
+    """Results of an evaluation as JSON lines."""
+    results.write.mode("overwrite").json(path)
 
 
 def snapshot(spark: SparkSession, base: str, folder: str, *, keep: int = 7, name: str | None = None) -> list[str]:

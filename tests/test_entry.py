@@ -50,7 +50,12 @@ def test_against_sql(spark, duck, name):
     assert table(got.toArrow().to_pydict()) == table(want.to_pydict())
 
 
+#: Queries without SQL whose result may be empty on the smallest tables; all others must give rows.
+MAY_BE_EMPTY = {"m20_facts", "m20_fragments", "m18_topic_members", "m02_cluster_summaries", "g10_cluster_rank"}
+
+
 @pytest.mark.parametrize("name", [n for n in CORE if n not in entry.oracle_sql()])
 def test_runs(spark, name):
     df = entry.queries()[name](spark, BASE)
-    assert df.columns and df.count() >= 0
+    n = df.count()
+    assert df.columns and n == df.distinct().count() and (n > 0 or name in MAY_BE_EMPTY)

@@ -38,32 +38,68 @@ def test_entity_relations_of_hubs(spark):
     assert some == {(a, b, k) for a, b, k in want if a == 52}
 
 
-def test_run_carries_notes_and_edges(spark):
-    """The batch on the smallest tables: every wired step runs, notes change, and a second run adds no edge."""
+def test_run_twice_is_run_once(spark):
+    """The whole batch on the smallest tables: every step runs, and a second run leaves the tables as they are, but for the
+    factor of decay and what the logs gain."""
     import os
 
     import pytest
     from pyspark.sql import functions as F
 
+    from noesis.plans import upkeep
     from noesis.plans.registry import Store
 
     base = "/root/testdata/sf0.001"
     if not os.path.isdir(base):
         pytest.skip("no test tables")
     t = Store(spark, base)
-    some = ["contradictions", "generalises", "relations", "boost", "supersedes", "demote"]
-    counts, edges, nodes = M.run(t, now="2026-01-01 00:00:00", dry_run=False, steps=some)
-    assert list(counts) == some and counts["relations"] > 0 and counts["boost"] > 0
+    now, steps = "2026-01-01 00:00:00", [n for n, _ in upkeep.steps() if n != "decay"]
+    counts, state = upkeep.run(t, now=now, dry_run=False, only=steps)
+    assert list(counts) == steps and -1 not in counts.values(), getattr(state, "errors", None)
+    for name in ("relations", "boost", "contradictions", "anchors", "snapshot", "emergence", "mark", "topics", "kmeans", "chains"):
+        assert counts[name] > 0, name
+    edges, nodes = state.edges, state.nodes
     kinds = {r[0]: r[1] for r in edges.groupBy("edge_type").count().collect()}
-    assert kinds.get("GENERALIZES", 0) == kinds.get("INSTANTIATES", 0)
-    pairs = {(r.source_id, r.target_id) for r in edges.filter("edge_type = 'CONTRADICTS'").collect()}
-    assert pairs == {(b, a) for a, b in pairs}
-    conflicts = {(r.a, r.b) for r in M.identity(t, 0.5).collect()}
-    assert conflicts and conflicts <= pairs
+    assert kinds["BELONGS_TO"] > 0 and kinds.get("GENERALIZES", 0) == kinds.get("INSTANTIATES", 0)
+    pairs = {(r.source_id, r.target_id): r.weight for r in edges.filter("edge_type = 'CONTRADICTS' and created_at = timestamp '2026-01-01 00:00:00'").collect()}
+    assert pairs and all((b, a) in pairs for a, b in pairs)
     old = edges.filter("edge_type = 'SUPERSEDES' and created_at = timestamp '2026-01-01 00:00:00'").select(F.col("target_id").alias("id"))
     assert nodes.join(old, "id", "left_semi").filter("importance = 'normal'").count() == 0
-    after = Small(spark, edges=edges, nodes=nodes, **{n: t(n) for n in ("entities", "node_entities")})
-    assert M.relation_edges(after).count() == 0
+    assert nodes.groupBy("id").count().filter("count > 1").count() == 0
+    again, twice = upkeep.run(state, now=now, dry_run=False, only=steps)
+    assert -1 not in again.values(), getattr(twice, "errors", None)
+    changed = {k: v for k, v in again.items() if v and k not in ("metrics", "orphans", "duplicates", "mark")}
+    plain = lambda df: sorted(tuple(r) for r in df.select("id", "content", "category", "importance", "tags").collect() if r.category != "metrics-snapshot")
+    assert plain(twice.nodes) == plain(nodes), changed
+    key = ["source_id", "target_id", "edge_type"]
+    assert twice.edges.select(*key).distinct().exceptAll(edges.select(*key).distinct()).count() == 0
+    assert edges.select(*key).distinct().exceptAll(twice.edges.select(*key).distinct()).count() == 0
+
+
+def test_relations_of_new_notes(spark):
+    """Only notes since the last run are read; a pair with an edge of another type keeps it and is logged."""
+    from noesis.plans import upkeep
+    from noesis.plans.registry import Store
+
+    class Says:
+        def relations(self, texts):
+            return [[("ann", "works_for", "acme", 0.9), ("ann", "uses", "nobody", 0.9)] if "ann" in t else [] for t in texts]
+
+    state = upkeep.State(Store(spark, ""))
+    stamp = "cast('{}' as timestamp)"
+    state.own.update(
+        nodes=spark.createDataFrame([(1, "ann at acme", "2025-01-05"), (2, "ann before", "2024-01-01"), (3, "x", "2025-02-01")], "id long, content string, timestamp string").selectExpr("id", "content", "cast(timestamp as timestamp) timestamp"),
+        edges=spark.sql(f"select 1L source_id, 3L target_id, 0.5D weight, 'semantic' edge_type, {stamp.format('2025-01-01')} created_at"),
+        entities=spark.createDataFrame([(1, "Ann"), (2, "ACME")], "id long, name string").selectExpr("id", "name", "'person' entity_type"),
+        node_entities=spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "node_id long, entity_id long"),
+        metadata=spark.createDataFrame([("last_sleep_at", "2025-01-01 00:00:00")], "key string, value string"),
+    )
+    counts, after = upkeep.run(state, now="2026-01-01 00:00:00", dry_run=False, only=["extraction"], extractor=Says())
+    assert counts == {"extraction": 3}
+    assert {(r.source_id, r.target_id, r.edge_type) for r in after.edges.collect()} == {(1, 3, "semantic"), (2, 3, "works_for"), (2, 1, "uses")}
+    assert [(r.source_id, r.target_id, r.edge_type, r.existing_edge_type) for r in after("edge_history").collect()] == [(1, 3, "works_for", "semantic")]
+    dry, same = upkeep.run(state, now="2026-01-01 00:00:00", only=["extraction"], extractor=Says())
+    assert dry == counts and same.edges.count() == 1
 
 
 def test_bounds_of_topics_and_links(spark, monkeypatch):

@@ -27,6 +27,18 @@ def test_counts_agree(spark):
     assert R.orphan_counts(refs, nodes, gone).groupBy().sum("orphans").first()[0] == R.orphans(refs, nodes, gone).count()
 
 
+def test_counts_within_the_month(spark):
+    """References of the record's own month are compared by the instant, others by the month; the same sums as row by row."""
+    stamps = ["2024-03-01 00:00:00", "2024-03-09 00:00:00", "2024-03-10 00:00:01", "2024-02-28 00:00:00", "2024-04-01 00:00:00", None]
+    edges = spark.createDataFrame([(5, k, "s", s) for k, s in enumerate(stamps)] + [(5, 100 + k, "s", stamps[1]) for k in range(900)], "source_id long, target_id long, edge_type string, c string").selectExpr("source_id", "target_id", "edge_type", "cast(c as timestamp) created_at")
+    nodes = spark.sql("select 5L id, timestamp'2024-03-10 00:00:00' at")
+    refs = R.edge_references(edges).filter("ref_field = 'source_id'")
+    got = {(r.period, r.reason): r.orphans for r in R.orphan_counts(refs, nodes, nodes.selectExpr("id as ref_id").limit(0)).collect()}
+    assert got == {("2024-03", "late"): 902, ("2024-02", "late"): 1}
+    want = {(r.period, r.reason): r["count"] for r in R.orphans(refs, nodes, nodes.selectExpr("id as ref_id").limit(0)).groupBy("period", "reason").count().collect()}
+    assert got == want
+
+
 def test_empty_and_hot_key(spark):
     edges, nodes, gone = frames(spark)
     assert R.orphans(R.edge_references(edges.limit(0)), nodes, gone).count() == 0
