@@ -1,17 +1,20 @@
 """The k most similar vectors of every vector, by cosine, out of the whole collection.
 
 Vectors are normalised, which makes the cosine an inner product, and indexed in cells around centroids; every vector is
-kept in, and asks, its ``SPILL`` nearest cells, so two vectors meet if they share any. Inside a cell all members are
-scored against all from four-bit codes: the vector is cut into subspaces of ``SUBSPACE`` numbers, each written as one of
-16 codewords. Codes are score-aware: with anisotropic loss the part of the residual parallel to the vector, which moves
-high inner products, costs ``eta`` times the orthogonal part, both when codewords are fitted and when codes are chosen.
-The table scan keeps the ``RERANK`` best of a cell for each member, and these are ranked exactly on the full vectors.
-
-What is fitted (centroids, codewords) is fitted on at most ``SAMPLE`` vectors, chosen by hash of the id; every vector is
-indexed and asks. The number of cells follows the number of vectors, so a cell's size and the work per vector stay the
-same at any scale. Centroids start at sampled vectors, so a dense region gets cells in proportion. Vectors of the same
-direction (to five decimals) are one class with one index entry, however many; their members are answered from the
-class.
+kept in its ``SPILL`` nearest cells and asks ``probe`` of them, so two vectors meet if they share any. A vector is cut into
+subspaces of ``SUBSPACE`` numbers, each written as one of 16 codewords. Codes are score-aware: with anisotropic loss the
+part of the residual parallel to the vector, which moves high inner products, costs ``eta`` times the orthogonal part, both
+when codewords are fitted and when codes are chosen. In a cell every asking vector makes a table of its inner products with
+the codewords, quantised to bytes; the scan looks the packed four-bit codes of all members up in it and adds, and the
+``RERANK`` best of a cell are ranked exactly on the full vectors. These travel with their cell: fetching them for survivors
+only would move a row for each of the 24 survivors of every vector and cell, more bytes than the vector itself.
+
+What is fitted (centroids, codewords) is fitted on at most ``cells.SAMPLE`` vectors, chosen by hash of the id; every vector is
+indexed and asks. The number of cells follows the number of vectors without end: beyond ``cells.COARSE`` centroids each of their
+cells is split by residual centroids fitted on the pooled residuals of the sample, so a cell's size and the work per vector
+stay the same at any scale. A cell that grows dense all the same is dealt into parts, and each part of its asking vectors
+meets each part of its members in a task of its own. Vectors of the same direction (to five decimals) are one class with one
+index entry, however many; their members are answered from the class.
 
 Defined cases: a vector that is null, of another length, all zero, or holds a null, NaN or infinity is not usable and
 appears nowhere; ties are broken by the smaller id; repeated rows of one id are one; an empty table gives no row.
@@ -19,24 +22,19 @@ appears nowhere; ties are broken by the smaller id; repeated rows of one id are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noesis.operators.sampling import bounded_sample
-from noesis.session import cut, slots
+from noesis.operators import cells as C
+from noesis.session import cut
 
-SAMPLE = 16_384
-CELL = 1_024
-MOST_CELLS = 8_192
 SPILL = 3
 SUBSPACE = 4
 CODEWORDS = 16
+FIT_CODES = 4_096
 RERANK = 24
-BLOCK = 1024
 
 
 def anisotropic_weight(dim: int, threshold: float = 0.2) -> float:
@@ -44,18 +42,6 @@ def anisotropic_weight(dim: int, threshold: float = 0.2) -> float:
     return max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
 
 
-def fit_centroids(x: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
-    """Spherical k-means from evenly drawn rows of ``x`` (rows are in hash order, which is random)."""
-    c = x[np.linspace(0, len(x) - 1, cells).astype(int)].copy()
-    for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
-        order = np.argsort(near, kind="stable")
-        filled, starts = np.unique(near[order], return_index=True)
-        c[filled] = np.add.reduceat(x[order], starts, axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
 class Codebook:
     """Codewords of every subspace under anisotropic loss."""
 
@@ -84,6 +70,18 @@ class Codebook:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.words[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
 
+    def scan(self, q: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Rough scores [rows of packed codes, queries], in units of their own for each query: the tables of both codes of a
+        byte are added to one of 256 entries, looked up byte by byte and summed."""
+        dots = np.einsum("qsd,skd->skq", q.reshape(len(q), -1, SUBSPACE), self.words, optimize=True)
+        dots -= dots.min(1, keepdims=True)
+        table = np.round(dots * (255 / np.maximum(dots.max((0, 1)), 1e-12))).astype(np.uint16)
+        both = (table[0::2, :, None] + table[1::2, None]).reshape(len(table) // 2, 256, len(q))
+        out = both[0].take(packed[:, 0], axis=0)
+        for k in range(1, len(both)):
+            out += both[k].take(packed[:, k], axis=0)
+        return out
+
     @classmethod
     def fit(cls, x: np.ndarray, eta: float, rounds: int = 4) -> Codebook:
         subs = x.shape[1] // SUBSPACE
@@ -117,115 +115,63 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are usable, and their normalised vectors."""
-    n = len(column)
-    sizes = np.asarray(column.value_lengths().fill_null(-1))
-    fit = sizes == dim
-    flat = column.filter(pa.array(fit)).flatten()
-    v = np.asarray(flat.fill_null(np.nan) if flat.null_count else flat, np.float64).reshape(-1, dim)
-    with np.errstate(over="ignore", invalid="ignore"):
-        length = np.linalg.norm(v, axis=1)
-    good = np.isfinite(v).all(1) & (length > 0) & np.isfinite(length)
-    usable = np.zeros(n, bool)
-    usable[np.flatnonzero(fit)[good]] = True
-    return usable, v[good] / length[good, None]
-
-
-def _directions(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            usable, v = _matrix(b.column(1), dim)
-            rounded = np.round(v * 1e5).astype(np.int32)
-            h = [xxhash.xxh3_128_digest(r.tobytes()) for r in rounded]
-            raw = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            ids = b.column(0).filter(pa.array(usable))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy())], names=["id", "h1", "h2"])
-
-    return run
-
-
-def _sample(df: DataFrame, dim: int, rows: int) -> np.ndarray:
-    """Normalised usable vectors of at most ``rows`` records, in the order of a hash of their id."""
-    few = bounded_sample(df.filter(F.size("v") == dim), ["id"], rows)
-    t = few.select("v").toArrow()
-    return _matrix(t.column(0).combine_chunks(), dim)[1].astype(np.float32) if t.num_rows else np.zeros((0, dim), np.float32)
-
-
-def _to_cells(dim: int, centroids: np.ndarray, book: Codebook, spill: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                usable, v = _matrix(b.column(1), dim)
-                if not len(v):
-                    continue
-                v = v.astype(np.float32)
-                ids = np.asarray(b.column(0).filter(pa.array(usable)))
-                score = v @ centroids.T
-                near = np.argpartition(-score, min(spill, score.shape[1]) - 1, axis=1)[:, :spill]
-                codes = pack(book.encode(v))
-                rep = np.repeat(np.arange(len(v)), near.shape[1])
-                raw, packed = [r.tobytes() for r in v], [r.tobytes() for r in codes]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(near.ravel().astype(np.int32)), pa.array(ids[rep]), pa.array([raw[i] for i in rep], pa.binary()), pa.array([packed[i] for i in rep], pa.binary())],
-                    names=["cell", "id", "v", "code"],
-                )
-
-    return run
-
-
 def _in_cell(dim: int, book: Codebook, k: int, least: float):
     def run(t: pa.Table) -> pa.Table:
+        role = np.asarray(t.column("role").combine_chunks())
         ids = np.asarray(t.column("id").combine_chunks())
         v = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        table = book.decode(unpack(codes)).astype(np.float32)  # row sums of the four-bit tables, as one product
-        n, a, b, c = len(ids), [], [], []
-        keep = min(RERANK, n - 1)
-        for at in range(0, n if n > 1 else 0, BLOCK):
-            q = v[at : at + BLOCK]
-            rough = q @ table.T
-            rough[np.arange(len(q)), np.arange(at, at + len(q))] = -9
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+        asking, kept = np.flatnonzero(role & C.ASKS), np.flatnonzero(role & C.KEEPS)
+        codes = np.frombuffer(b"".join(t.column("extra").to_pylist()), np.uint8).reshape(len(ids), -1)[kept]
+        n, a, b, c = len(kept), [], [], []
+        own = np.full(len(ids), -1)
+        own[kept] = np.arange(n)
+        keep = min(RERANK, n)
+        for at in range(0, len(asking) if n else 0, C.BLOCK):
+            row = asking[at : at + C.BLOCK]
+            q = v[row]
+            rough = book.scan(q, codes).T.astype(np.int32)
+            self_at = own[row]
+            rough[np.flatnonzero(self_at >= 0), self_at[self_at >= 0]] = -1
+            best = kept[np.argpartition(-rough, keep - 1, axis=1)[:, :keep]]
             exact = np.einsum("qd,qkd->qk", q.astype(np.float64), v[best].astype(np.float64), optimize=True)
+            exact[ids[best] == ids[row][:, None]] = -9
             order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
             best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-            row, col = np.nonzero(exact >= least)
-            a.append(ids[at + row]), b.append(ids[best[row, col]]), c.append(exact[row, col])
+            i, j = np.nonzero(exact >= least)
+            a.append(ids[row[i]]), b.append(ids[best[i, j]]), c.append(exact[i, j])
         cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
         return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "cosine": cat(c, np.float64)})
 
     return run
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 128, least: float = 0.8, spill: int = SPILL) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 128, least: float = 0.8, spill: int = SPILL, asking: Column | None = None, probe: int | None = None, cell: int = C.CELL, coarse: int = C.COARSE, dense: int = C.DENSE) -> DataFrame:
     """``a, b, cosine, place``: for every usable vector ``a`` its at most ``k`` most similar others ``b`` with a cosine of
-    at least ``least``, place from 1."""
+    at least ``least``, place from 1. With ``asking`` (a condition on the rows of ``df``) only these vectors ask, ``probe``
+    cells each, all being kept in ``spill``."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    hashed = cut(rows.mapInArrow(_directions(dim), "id long, h1 long, h2 long"), "directions")
-    classes = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("members"), F.count(F.lit(1)).alias("rows"))
-    reps = cut(classes, "direction-classes")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(F.lit(True) if asking is None else asking, F.lit(False)).alias("asks"))
+    hashed, reps = C.direction_classes(rows, dim)
     count = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("rows") > 1, 1)), F.lit(0))).first()
     total, repeated = int(count[0]), int(count[1])
     empty = spark.createDataFrame([], "a long, b long, cosine double, place int")
     if total == 0:
         return empty
-    sample = _sample(rows, dim, SAMPLE)
-    cells = max(1, min(MOST_CELLS, len(sample), total // CELL))
-    centroids = fit_centroids(sample, cells)
-    book = Codebook.fit(sample[:4096].astype(np.float64), anisotropic_weight(dim))
+    sample = C.sample_vectors(rows.select("id", "v"), dim)
+    cells = C.Cells.fit(sample, max(1, total // cell), coarse)
+    book = Codebook.fit(sample[:: max(1, len(sample) // FIT_CODES)].astype(np.float64), anisotropic_weight(dim))
+    probe = probe or spill
     # rows that repeat a direction leave before vectors are copied to cells; the table of those rows holds ids only
     spare = hashed.join(reps.filter("rows > 1"), ["h1", "h2"]).select("id", "rep", "members")
     own = rows
     if repeated:
         own = rows.join(spare.filter("id <> rep").select("id"), "id", "left_anti")
-    placed = own.mapInArrow(_to_cells(dim, centroids, book, min(spill, cells)), "cell int, id long, v binary, code binary")
-    placed = placed.repartition(max(slots(spark), total * spill // 100_000), "cell")
-    near = placed.groupBy("cell").applyInArrow(_in_cell(dim, book, k, least), "a long, b long, cosine double")
+        if asking is not None:  # a class asks if any of its members does
+            asks = rows.filter("asks").join(spare, "id").select(F.col("rep").alias("id"), F.lit(True).alias("one")).distinct()
+            own = own.join(asks, "id", "left").select("id", "v", (F.col("asks") | F.coalesce("one", F.lit(False))).alias("asks"))
+    near = C.meet(
+        own.withColumn("mark", F.lit(False)), _in_cell(dim, book, k, least), "a long, b long, cosine double", dim=dim, cells=cells, total=total, keep=spill, probe=probe, dense=dense, extra=lambda v: pack(book.encode(v))
+    )
     near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     first = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     near = near.filter("a <> b").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k)
@@ -243,4 +189,6 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: in
     others = side.select(F.col("from").alias("a"), F.col("to").alias("b"), "cosine")
     siblings = member.join(head, "rep").select(F.col("id").alias("a"), F.explode("heads").alias("b"), F.lit(1.0).alias("cosine")).filter("a <> b")
     out = others.unionByName(siblings)
+    if asking is not None:
+        out = out.join(rows.filter("asks").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
     return out.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k)

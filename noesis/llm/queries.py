@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from noesis.llm import byte_language, corpus_tokens, eval_leaks, name_variants, near_duplicates, nearest_vectors, personal_data, term_weights
 from noesis.sources.tables import load
 
+#: Cells that a query of ``p6_nearest`` asks; measured, see the README.
+PROBE = 24
+
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     pairs = near_duplicates.near_duplicates(load(spark, base, "nodes", "id", "content"), "id", "content", threshold=0.6, width=3)
@@ -67,11 +70,22 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).distinct()
 
 
+def p6_nearest(spark: SparkSession, base: str) -> DataFrame:
+    """The five nearest of every note whose id is divisible by 100, at any cosine, against all notes."""
+    near = nearest_vectors.nearest_vectors(load(spark, base, "nodes", "id", "embedding"), "id", "embedding", k=5, dim=128, least=-1.0, asking=F.col("id") % 100 == 0, probe=PROBE)
+    return near.select(F.col("a").alias("node_id"), F.col("b").alias("near_id"), "place", F.round("cosine", 4).alias("cosine"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     pairs = name_variants.name_variants(load(spark, base, "entities", "id", "name", "entity_type"), "id", "name", "entity_type")
     return pairs.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
 
 
+def p7_clusters(spark: SparkSession, base: str) -> DataFrame:
+    """Every entity whose name can be read, and the smallest id of those that mean the same."""
+    return name_variants.name_clusters(load(spark, base, "entities", "id", "name", "entity_type"), "id", "name", "entity_type")
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return corpus_tokens.encode_corpus(load(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -114,7 +128,7 @@ def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_near_five_words, p1_copy_classes, p1_note_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p4_segments, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
+        p1_found, p1_near_five_words, p1_copy_classes, p1_note_classes, p3_found, p3_summary_scores, p3_note_scores, p4_found, p4_segments, p6_found, p6_nearest, p7_found, p7_clusters, p8_ids, p8_round_trip, p9_found, p9_longest, p9_clean, p10_found, p10_redacted
     )
 }
 

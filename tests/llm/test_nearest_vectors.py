@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from noesis.llm import nearest_vectors as V
 
@@ -31,6 +32,26 @@ def test_unusable_ties_and_copies(spark):
     assert V.nearest_vectors(frame(spark, rows).limit(0), "id", "embedding", dim=8).count() == 0
 
 
+def test_split_and_dense_cells(spark):
+    """More cells than coarse centroids, and cells dealt into parts, give the same neighbours; asking rows only ask."""
+    r = np.random.default_rng(5)
+    centre = r.standard_normal((120, 16))
+    v = np.repeat(centre, 6, axis=0) + 0.2 * r.standard_normal((720, 16))
+    df = frame(spark, list(enumerate(v)))
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = {(a, int(b)) for a in range(len(u)) for b in np.argsort(-s[a])[:4] if s[a, b] >= 0.8}
+    for setting in ({"cell": 20, "coarse": 6}, {"cell": 200, "dense": 60}):
+        rows = V.nearest_vectors(df, "id", "embedding", k=4, dim=16, least=0.8, spill=4, **setting).collect()
+        got = {(x.a, x.b) for x in rows}
+        assert len(rows) == len(got) and len(want & got) >= 0.97 * len(want)
+    few = V.nearest_vectors(df, "id", "embedding", k=4, dim=16, least=-1.0, asking=F.col("id") % 100 == 0, probe=36, cell=20).collect()
+    assert {x.a for x in few} == set(range(0, 720, 100))
+    best = {(a, int(b)) for a in range(0, 720, 100) for b in np.argsort(-s[a])[:4]}
+    assert len(best & {(x.a, x.b) for x in few}) >= 0.95 * len(best)
+
+
 def test_codes():
     r = np.random.default_rng(0)
     x = r.standard_normal((600, 16))
@@ -40,3 +61,5 @@ def test_codes():
     assert along(aware) < along(flat)  # less error parallel to the vector
     codes = aware.encode(x)
     assert (V.unpack(V.pack(codes)) == codes).all()
+    rough, real = aware.scan(x[:40], V.pack(codes)), aware.decode(codes) @ x[:40].T
+    assert all(np.corrcoef(rough[:, k], real[:, k])[0, 1] > 0.999 for k in range(40))
