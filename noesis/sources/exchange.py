@@ -46,7 +46,7 @@ def write_skills(skills: DataFrame, path: str) -> None:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Skill descriptions: one row per SKILL.md with its folder as category, its heading and its first two long lines."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").text(folder).withColumn("path", F.input_file_name())
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="SKILL.md").withColumn("path", F.input_file_name())
     lines = F.filter(F.split("value", "\n"), lambda x: (F.length(x) > 40) & ~x.startswith("#"))
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/SKILL\.md$", 1).alias("category"), F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1).alias("name"), F.array_join(F.slice(lines, 1, 2), " ").alias("purpose"))
 
@@ -57,7 +57,7 @@ _TURNS = "array<struct<speaker:string,dia_id:string,text:string>>"
 def read_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(turns, questions) of a JSON list of {conversation: {speaker_a, speaker_b, session_N, session_N_date_time}, qa: [...]}:
     turns have conv_id, session, at, turn, speaker, dia_id, text; questions conv_id, question, answer, category, evidence."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<conversation:map<string,string>,qa:array<struct<question:string,answer:string,category:int,evidence:array<string>>>>>")).alias("conv_id", "c"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<conversation:map<string,string>,qa:array<struct<question:string,answer:string,category:int,evidence:array<string>>>>>")).alias("conv_id", "c"))
     fields = raw.select("conv_id", F.explode("c.conversation").alias("name", "v"))
     number = F.regexp_extract("name", r"^session_(\d+)$", 1)
     talks = fields.filter(number != "").select("conv_id", number.cast("int").alias("session"), F.posexplode(F.from_json("v", _TURNS)).alias("turn", "t"))
