@@ -3,10 +3,10 @@
 Every record gets a signature of bytes, one per position: position i holds one byte of the smallest hash that any of its
 word sequences has under hash function i, so two records agree in a position with the probability of their similarity.
 A byte-position inverted index lists the records under each run of ``GROUP`` bytes at its place in the signature; pairs
-under one entry are candidates. Count filtering tallies the equal positional bytes of a pair over one byte of every run and
-keeps pairs that reach the minimum which a pair at the threshold reaches with all but 1e-9 probability. What is left is
-verified on the exact sets. The number of runs follows from the threshold: a pair right at it meets with a probability of
-``RECALL``, more similar pairs with more.
+under one entry are candidates. Count filtering tallies the equal positions of a pair over the last bit of ``TALLIED``
+positional bytes and keeps pairs that reach the minimum which a pair at the threshold reaches with all but one in three
+million. What is left is verified on the exact sets. There are ``RUNS`` runs, or as many as a pair right at the threshold
+needs to meet with a probability of ``RECALL``; more similar pairs meet with more.
 
 Scale: records with the same set are one class, found by a hash aggregate before anything else, so copies, however many,
 cost one index entry each and never meet each other. Index entries travel as packed column blobs (6 bytes and a share of
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from noesis.llm.words import WordHashes, mix, shingle_sets
 from noesis.session import cut, slots
 
-GROUP = 5
-RECALL = 0.9999
+GROUP = 6
+RUNS = 132
+RECALL = 0.998
 CLASS_LIMIT = 32
 HOT = 2_048
 ENTRIES_PER_PARTITION = 4_000_000
-TALLY_SIGMAS = 6.0
+TALLIED = 384
+TALLY_SIGMAS = 5.0
 
 
 def _salts(n: int) -> np.ndarray:
@@ -51,8 +53,8 @@ def _salts(n: int) -> np.ndarray:
 
 
 def groups_for(threshold: float, recall: float = RECALL) -> int:
-    """Byte runs needed for a pair at the threshold to meet under one of them with the given probability."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**GROUP)))
+    """Byte runs for a pair at the threshold to meet under one of them with the given probability or more."""
+    return max(RUNS, int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**GROUP))))
 
 
 def signature(sets: np.ndarray, sizes: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -198,27 +200,41 @@ def _of_chunks(threshold: float):
     return run
 
 
-def _sketches(width: int, groups: int):
-    positions = np.arange(groups) * GROUP
+def _tallied(groups: int) -> np.ndarray:
+    """The positions whose last bits are tallied: evenly over the signature."""
+    return np.unique(np.linspace(0, groups * GROUP - 1, min(TALLIED, groups * GROUP)).astype(int))
+
+
+def _with_sketch(width: int, groups: int):
+    """Texts with the last bits of their tallied positional bytes, packed."""
+    positions = _tallied(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
-            sets, sizes = shingle_sets(b.column(1).to_pylist(), width, hashes)
-            sig = signature(sets, sizes, positions)
-            has = np.flatnonzero(sizes)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sketch"])
+        for whole in batches:
+            for b in _blocks(whole, 4000):
+                sets, sizes = shingle_sets(b.column(1).to_pylist(), width, hashes)
+                bits = np.packbits(signature(sets, sizes, positions) & 1, axis=1)
+                has = pa.array(np.flatnonzero(sizes))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(has), b.column(1).take(has), pa.array([r.tobytes() for r in bits], pa.binary())], names=["id", "text", "sketch"])
 
     return run
 
 
-def _tally(least: int):
+def tally_least(positions: int, threshold: float) -> int:
+    """Equal bits that a pair at the threshold has at least: positions agree with the probability of the similarity, and
+    else their bits do every second time."""
+    p = threshold + (1 - threshold) / 2
+    return max(1, int(positions * p - TALLY_SIGMAS * (positions * p * (1 - p)) ** 0.5))
+
+
+def _tally(positions: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             sides = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3)]
-            keep = pa.array((sides[0] == sides[1]).sum(1) >= least)
+            keep = pa.array(positions - np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     return run
@@ -254,18 +270,19 @@ def _classes(df: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame,
 def _linked(texts: DataFrame, reps: DataFrame, width: int, threshold: float, groups: int, hot: int) -> DataFrame:
     """``a, b, similarity`` of the smallest ids of classes that reach the threshold."""
     records = reps.count()
-    text_of = cut(texts.join(reps.select(F.col("rep").alias("id"), "t"), ["id", "t"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+    own = texts.join(reps.select(F.col("rep").alias("id"), "t"), ["id", "t"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+    text_of = cut(own.mapInArrow(_with_sketch(width, groups), "id long, text string, sketch binary"), "texts")
     n = slots(texts.sparkSession)
     partitions = max(n, -(-records * groups // ENTRIES_PER_PARTITION))
-    blobs = text_of.mapInArrow(_index_blobs(width, groups, partitions), "p int, key binary, at binary, ids binary, n binary")
+    blobs = text_of.select("id", "text").mapInArrow(_index_blobs(width, groups, partitions), "p int, key binary, at binary, ids binary, n binary")
     met = blobs.repartitionById(partitions, F.col("p")).mapInArrow(_meet(threshold, hot), "a long, b long, left binary, right binary")
-    met = met.repartition(max(n, partitions // 4), F.xxhash64("a", "b", "left", "right")).mapInArrow(_of_chunks(threshold), "a long, b long").distinct()
-    least = max(1, int(groups * threshold - TALLY_SIGMAS * (groups * threshold * (1 - threshold)) ** 0.5))
-    sketch = text_of.mapInArrow(_sketches(width, groups), "id long, sketch binary")
+    met = met.distinct().mapInArrow(_of_chunks(threshold), "a long, b long")
+    sketch, tallied = text_of.select("id", "sketch"), len(_tallied(groups))
     sided = met.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = sided.select("a", "b", "sa", "sb").mapInArrow(_tally(least), "a long, b long")
+    likely = sided.select("a", "b", "sa", "sb").mapInArrow(_tally(tallied, tally_least(tallied, threshold)), "a long, b long")
     both = likely.join(text_of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(text_of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(_verify(width, threshold), "a long, b long, similarity double")
+    # pairs of hot entries may come several times up to here
+    return both.select("a", "b", "ta", "tb").mapInPandas(_verify(width, threshold), "a long, b long, similarity double").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: float = 0.8, width: int = 5, groups: int | None = None, hot: int = HOT) -> DataFrame:
