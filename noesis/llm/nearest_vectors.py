@@ -115,7 +115,7 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_cell(dim: int, book: Codebook, k: int, least: float):
+def _in_cell(dim: int, book: Codebook, k: int, least: float, rerank: int):
     def run(t: pa.Table) -> pa.Table:
         role = np.asarray(t.column("role").combine_chunks())
         ids = np.asarray(t.column("id").combine_chunks())
@@ -125,7 +125,7 @@ def _in_cell(dim: int, book: Codebook, k: int, least: float):
         n, a, b, c = len(kept), [], [], []
         own = np.full(len(ids), -1)
         own[kept] = np.arange(n)
-        keep = min(RERANK, n)
+        keep = min(rerank, n)
         for at in range(0, len(asking) if n else 0, C.BLOCK):
             row = asking[at : at + C.BLOCK]
             q = v[row]
@@ -145,10 +145,11 @@ def _in_cell(dim: int, book: Codebook, k: int, least: float):
     return run
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 128, least: float = 0.8, spill: int = SPILL, asking: Column | None = None, probe: int | None = None, cell: int = C.CELL, coarse: int = C.COARSE, dense: int = C.DENSE) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 128, least: float = 0.8, spill: int = SPILL, asking: Column | None = None, probe: int | None = None, rerank: int = RERANK, cell: int = C.CELL, coarse: int = C.COARSE, dense: int = C.DENSE) -> DataFrame:
     """``a, b, cosine, place``: for every usable vector ``a`` its at most ``k`` most similar others ``b`` with a cosine of
     at least ``least``, place from 1. With ``asking`` (a condition on the rows of ``df``) only these vectors ask, ``probe``
-    cells each, all being kept in ``spill``."""
+    cells each, all being kept in ``spill``. ``rerank`` of a cell are ranked exactly; far neighbours, whose cosines lie close
+    together, need more of both."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(F.lit(True) if asking is None else asking, F.lit(False)).alias("asks"))
     hashed, reps = C.direction_classes(rows, dim)
@@ -170,7 +171,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: in
             asks = rows.filter("asks").join(spare, "id").select(F.col("rep").alias("id"), F.lit(True).alias("one")).distinct()
             own = own.join(asks, "id", "left").select("id", "v", (F.col("asks") | F.coalesce("one", F.lit(False))).alias("asks"))
     near = C.meet(
-        own.withColumn("mark", F.lit(False)), _in_cell(dim, book, k, least), "a long, b long, cosine double", dim=dim, cells=cells, total=total, keep=spill, probe=probe, dense=dense, extra=lambda v: pack(book.encode(v))
+        own.withColumn("mark", F.lit(False)), _in_cell(dim, book, k, least, rerank), "a long, b long, cosine double", dim=dim, cells=cells, total=total, keep=spill, probe=probe, dense=dense, extra=lambda v: pack(book.encode(v))
     )
     near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     first = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
