@@ -56,10 +56,12 @@ def route(edges: DataFrame, seeds: DataFrame, community: DataFrame) -> DataFrame
     """``query_id, node_id``: the subgraph cut down to the seeds' communities and their neighbours; queries whose seeds have
     no community keep the whole subgraph."""
     sub = subgraph(edges, seeds)
-    own = seeds.join(community.filter("community <> -1"), "node_id").select("query_id", "community").distinct()
-    inside = own.join(community, "community").select("query_id", "node_id").distinct()
-    near = subgraph(edges, inside)
-    routed = sub.join(near, ["query_id", "node_id"], "left_semi")
+    c = community.filter("community <> -1").select("node_id", "community")
+    own = seeds.join(c, "node_id").select("query_id", "community").distinct()
+    # the communities a note is in or next to: one row per note and community, whatever the number of queries
+    beside = adjacency(edges).select(F.col("src").alias("at"), F.col("dst").alias("node_id")).join(c, "node_id").select(F.col("at").alias("node_id"), "community")
+    reach = c.unionByName(beside).distinct()
+    routed = sub.join(reach, "node_id").join(own, ["query_id", "community"], "left_semi").select("query_id", "node_id").distinct()
     return routed.unionByName(sub.join(own.select("query_id").distinct(), "query_id", "left_anti"))
 
 

@@ -204,10 +204,20 @@ def made_notes(t: Store, wanted: DataFrame, mark: Column, *, now: str, links: Da
     return {"nodes": kept.unionByName(shaped), "edges": left.unionByName(added.select(*t.edges.columns))}
 
 
+def own_notes(t: Store, *columns: str) -> DataFrame:
+    """Notes that the batch has not made itself."""
+    return t("nodes", *columns).filter(F.col("category").isNull() | ~F.col("category").isin(V.SYNTHETIC))
+
+
+def own_chains(t: Store) -> DataFrame:
+    c = relational.temporal_chains(own_notes(t, "id", "category", "timestamp"))
+    return _edges(c, "temporal_chain", F.lit(0.95))
+
+
 def _anchors(t: State, now: str) -> dict[str, DataFrame]:
     names = t("node_entities", "node_id", "entity_id").distinct().join(t("entities", F.col("id").alias("entity_id"), "name"), "entity_id")
     names = names.groupBy("node_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "name"))), lambda x: x["name"]), 1, 7).alias("names"))
-    found, _ = lifecycle.keyword_anchors(t.nodes, names)
+    found, _ = lifecycle.keyword_anchors(own_notes(t, "id", "content", "category"), names)
     found = cut(found.drop("embedding"), "anchors")
     wanted = found.select("content", "category", "importance", "tags", F.lit(5).alias("emotional_intensity"))
     links = found.select("tags", F.col("parent").alias("note"), F.lit("PART_OF").alias("edge_type"), F.lit(1.0).alias("out"), F.lit(None).cast("double").alias("back"))
@@ -456,7 +466,7 @@ def steps(*, extractor=None, queries: DataFrame | None = None) -> list[tuple[str
     ``extractor`` finds relations in new notes, ``queries`` are the vectors for self-reference."""
     plan = [
         ("consolidation", _links(maintenance.thematic, ["consolidation"])),
-        ("chains", _links(maintenance.chains, ["temporal_chain"])),
+        ("chains", _links(own_chains, ["temporal_chain"])),
         ("summaries", _write_summaries),
         ("contradictions", _write_contradictions),
         ("anchors", _anchors),
