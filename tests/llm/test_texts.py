@@ -138,6 +138,41 @@ def test_name_links(spark):
     assert M.name_variants(df.limit(0), "id", "name").count() == 0
 
 
+def test_names_that_meet_and_are_not_alike(spark):
+    """Batches in which no family name is like another link nothing and take nothing from the other batches."""
+    apart = [(0, "Peter Bator"), (1, "Peter Pudir")]
+    assert set(M.block_keys("person", "bator", "peter")) & set(M.block_keys("person", "pudir", "peter"))
+    df = spark.createDataFrame(apart, "id long, name string")
+    assert M.name_variants(df, "id", "name").count() == 0
+    assert sorted(map(tuple, M.name_clusters(df, "id", "name").collect())) == [(0, 0), (1, 1)]
+    both = spark.createDataFrame([*apart, (2, "Pete Bator"), (3, "Pudir, P.")], "id long, name string")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = sorted(map(tuple, M.name_variants(both, "id", "name").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert got == [(0, 2), (1, 3)]
+
+
+def test_the_letter_bound_keeps_every_like_name(spark, monkeypatch):
+    """No pair that Jaro-Winkler takes is left out before, most others are; blocks dealt over tasks give the same pairs."""
+    r = random.Random(9)
+    base = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(1, 6))) for _ in range(60)] + ["ñandú", "пётр", "a b1", "aaaa", "👩x", "x9"]
+    slips = [w[:k] + c + w[k + d :] for w in base for k, c, d in [(r.randrange(len(w)), r.choice(["", "e", w[-1]]), r.randrange(2)) for _ in range(3)]]
+    mains = sorted({w for w in [*base, *slips] if w})
+    df = spark.createDataFrame([(w, M.letter_bits(w)) for w in mains], "main string, bits long")
+    both = df.crossJoin(df.toDF("main_b", "bits_b"))
+    kept = {tuple(x) for x in both.filter(M.may_be_alike(M.FAMILY_LEAST)).select("main", "main_b").collect()}
+    like = {(a, b) for a in mains for b in mains if M.jaro_winkler(a, b) >= M.FAMILY_LEAST}
+    assert like <= kept and len(like) > 2 * len(mains) and len(kept) < len(mains) ** 2 / 10
+    names = [f"{g} {w.capitalize()}" for w in mains[:60] for g in ("Peter", "Pete", "Anna", "P.")] + [f"{w} labs" for w in mains[:60]]
+    named = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    want = sorted(map(tuple, M.name_variants(named, "id", "name").collect()))
+    monkeypatch.setattr(M, "ROWS_PER_BLOCK", 2)
+    assert want and sorted(map(tuple, M.name_variants(named, "id", "name").collect())) == want
+
+
 def test_name_variants_of_large_clusters(spark):
     """Many spellings of one person give all their pairs; many rows of one written name stand behind the smallest id."""
     spelled = [f"{title}{name}" for title in ("", "Dr. ", "Prof. ", "Mr ", "Ms ", "Mrs. ", "Frau ", "Herr ", "Miss ") for given in ("Katherine", "Kate", "Kathy", "KATIE") for name in (f"{given} Petrova", f"{given} PETROVA", f"Petrova, {given}")]
