@@ -55,7 +55,7 @@ def test_stretches_of_ends(spark, store, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(BASE), reason="no test tables")
-@pytest.mark.parametrize("name", ["g01_spreading", "r12_blend", "r15_contradictions", "r19_whole_for_part"])
+@pytest.mark.parametrize("name", ["g01_spreading", "r12_blend", "r15_contradictions", "r19_whole_for_part", "x14_baseline_spreading"])
 def test_no_shuffle_of_activations(spark, name):
     plan = entry.queries()[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
     after = plan[: plan.index("FlatMapGroupsInArrow")]
