@@ -13,7 +13,7 @@ from noesis.operators import evaluation, graph, ranking, searchlog, signals, vec
 from noesis.plans import graphs, relational
 from noesis.plans.graphs import _ADJ, _BLEND, _KNN, _PR, _SEEDS, EDGE, NOW, knn, seeds
 from noesis.plans.registry import Catalog, Store
-from noesis.session import shared_dir
+from noesis.session import cut, shared_dir
 
 catalog = Catalog()
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
@@ -65,8 +65,8 @@ def r04(t: Store) -> DataFrame:
     """Notes that tell of identity raised among the nearest, and brought in from a similarity of 0.1 on."""
     notes = t("nodes", "id", "category", "embedding")
     asked = notes.filter("category = 'breakthrough'").select(F.col("id").alias("query_id"), "embedding")
-    wanted = ranking.nearest(asked, notes.filter(F.col("category").isin(V.IDENTITY_BOOSTED)), k=1 << 30, least=0.0)
-    return ranking.boosted(knn(t), wanted, by=0.15, least=0.1).withColumn("score", F.round("score", 4))
+    kinds = notes.filter(F.col("category").isin(V.IDENTITY_BOOSTED)).select("id", "embedding")
+    return ranking.boosted_nearest(asked, cut(knn(t), "near"), kinds, by=0.15, least=0.1).withColumn("score", ranking.rounded("score"))
 
 
 @catalog(
