@@ -59,3 +59,17 @@ def test_rounded_as_round(spark):
     x = [0.123449, 0.123451, -0.123451, 0.5, -0.00001, 0.0, 1.0, -7.77775001]
     df = spark.createDataFrame([(a,) for a in x], "score double")
     assert all(r.a == r.b for r in df.select(ranking.rounded("score").alias("a"), F.round("score", 4).alias("b")).collect())
+
+
+def test_index_asked_in_all_cells_is_scanned(spark, notes, tmp_path):
+    v, base = notes
+    vector_index.build(base, str(tmp_path / "index"), dim=16, cell=50)
+    q = base.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    search = lambda probe: vector_index.search(spark, str(tmp_path / "index"), q, k=5, probe=probe, least=-1.0)
+    assert "CoGroups" not in plan(search(1 << 20)) and "CoGroups" in plan(search(1))
+    got = {(r.query_id, r.node_id): r.score for r in search(1 << 20).collect()}
+    assert len(got) == 500 and {p for p in got if 40 <= p[1] < 60} <= {p for p in brute(v, range(0, 700, 7), 16, -1.0)}
+    assert {p for p in got if not 40 <= p[1] < 60} <= brute(v, range(0, 700, 7), 5, -1.0)
+    vector_index.add(spark.createDataFrame([(3, v[7].tolist())], "id long, embedding array<double>"), str(tmp_path / "index"))
+    again = {(r.query_id, r.node_id): r.score for r in search(1 << 20).collect()}
+    assert again[7, 3] == pytest.approx(1.0) and (7, 3) not in got and vector_index.statistics(spark, str(tmp_path / "index")).first().vectors == 700
