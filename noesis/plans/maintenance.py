@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from noesis import vocabulary as V
 from noesis.functions import text, vectors
 from noesis.operators import graph, joins, lifecycle, similarity, text_index
+from noesis.operators import kmeans as kmeans_rows
 from noesis.plans import relational
 from noesis.plans.registry import Catalog, Store
 from noesis.plans.relational import band_similar, temporal_chains
@@ -200,16 +201,11 @@ def topic_count(n: int) -> int:
 @catalog("m19_kmeans_topics")
 def kmeans(t: Store) -> DataFrame:
     """Notes by k-means on unit vectors: k = min(max(10, n / 30), n / 3), seed 42."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    notes = usable_notes(t, "category").filter(F.col("category").isNull() | ~F.col("category").isin(V.SYNTHETIC))
-    rows = notes.select("id", array_to_vector(vectors.unit("embedding")).alias("features"))
+    rows = usable_notes(t, "category").filter(F.col("category").isNull() | ~F.col("category").isin(V.SYNTHETIC)).select("id", "embedding")
     n = rows.count()
     if n < 10:
         return rows.select("id", F.lit(0).alias("topic"))
-    model = KMeans(k=topic_count(n), seed=42, maxIter=10).fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").alias("topic"))
+    return kmeans_rows.fit(rows, topic_count(n), seed=42, rounds=10)
 
 
 FACT_CATEGORIES = ["milestone", "benchmark", "breakthrough", "architecture-decision", "learned-skill", "research", "project-milestone", "project-planning"]
